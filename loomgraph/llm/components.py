@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = _mark(e)
     while True:
         both = e.select(F.col("hi").alias("a"), F.col("lo").alias("b")).union(e.select("lo", "hi"))
-        large = _star(both).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = _star(both).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         starred = _star(large)
         small = starred.where("b <> m").select(F.col("b").alias("hi"), F.col("m").alias("lo")).union(
             starred.select(F.col("a").alias("hi"), F.col("m").alias("lo"))

@@ -4,16 +4,85 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash
+from . import ann, chat, langid, lines, mixing, packing, quality, rules, simhash, warc
 from .common import read
 
 
+def fold(of: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.fit(docs, fold(4) != 2, tokenizer("piece_bpe_32k.model"))
+    held_out = F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out")
+    return langid.identify(docs, model, "doc_id").select("doc_id", held_out, "lang_pred", "score")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    return quality.fit(docs, labels, fold(3) != 1)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality_model(docs, read(spark, sf_dir, "labels"))
+    held_out = F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out")
+    return quality.score(docs, model, "doc_id").select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.coalesce(F.size("__removed"), F.lit(0))
+    return done.select(
+        "doc_id",
+        F.when(F.col("__removed").isNull(), F.lit(0)).otherwise(removed).alias("n_removed"),
+        F.array_sort("__removed").alias("removed_lines"),
+        F.length("text").cast("bigint").alias("kept_chars"),
+        F.md5("text").alias("kept_md5"),
+    )
+
+
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema)
+    return chat.conversation_digests(rows.unionByName(more))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return rules.judge(docs, rules.fit(docs, read(spark, sf_dir, "labels")), "doc_id")
+
+
+def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
