@@ -1,17 +1,18 @@
-"""What the operators of this folder share: scratch tables, reading, hashing."""
+"""What the operators of this folder share: reading, slices of batches, SimHash bits."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.components import connected_components
+from ..sources.scratch import save, shared_dir
+
+__all__ = ["bit_majority", "connected_components", "read", "save", "shared_dir", "slices", "type_of"]
+
 #: Rows turned into Python objects at a time, so that a batch of long texts stays small.
 SLICE = 256
 
@@ -20,35 +21,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that is unset, as in tests on one machine, a folder of our own is
-    made and removed again at exit.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        own = tempfile.mkdtemp(prefix="loomgraph-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        at = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def save(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it again.
-
-    This cuts the lineage, and a lost executor costs none of it.
-    """
-    path = f"{shared_dir(df.sparkSession)}/llm-{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE):
-            yield batch.slice(at, SLICE)
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
 
 
 def type_of(df: DataFrame, column: str) -> str:

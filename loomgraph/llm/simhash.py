@@ -11,8 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_majority, save, slices, type_of
-from .components import connected_components
+from .common import bit_majority, connected_components, save, slices, type_of
 
 WORDS = 3
 SEED = 42
