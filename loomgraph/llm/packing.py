@@ -15,24 +15,32 @@ from pyspark.sql import functions as F
 
 from .common import save, slices, type_of
 
-#: Words whose ids a Python worker remembers, and the longest such word.
-CACHE_WORDS, CACHE_LENGTH = 300_000, 64
+#: Words whose ids a Python worker remembers in each of two generations.
+CACHE_WORDS = 400_000
+#: Documents whose words are looked up together.
+TOKENIZED = 512
+#: What words of letters alone mostly end with.
+ENDINGS = ".,;:!?"
 #: The shortest of three lengths that fill a window together is a multiple of window / this.
 TRIPLE_STEPS = 32
 ROUNDS = 80
 
 
-class WordIds(dict):
-    """Ids of a white-space-free word, as little-endian 32-bit numbers.
+class WordIds:
+    """Ids of texts, as little-endian 32-bit numbers, from those of their words.
 
     The tokenizer never joins characters across white space, so a text's ids are
-    those of its words in order; most words have been seen before.
+    those of its words in order, and most words have been seen before. It parts
+    letters from punctuation and ignores case, so a word of letters and an ending
+    needs only its letters looked up. New words are encoded together, in one text,
+    and told apart by where their ids begin.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.known, self.older = {}, {}
         spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
         apart = self.ids("a") + self.ids("b")
         #: What str.split() parts at, but the tokenizer may not.
@@ -41,18 +49,46 @@ class WordIds(dict):
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.ids(word)
-        if len(word) <= CACHE_LENGTH:
-            if len(self) >= CACHE_WORDS:
-                self.clear()
-            self[word] = found
-        return found
-
-    def of_text(self, text: str) -> bytes:
-        if any(c in text for c in self.odd):
-            return self.ids(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def encode(self, words: list[str]) -> None:
+        """Learns words of which none is known."""
+        if not words:
+            return
+        done = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(done.ids, "<u4").tobytes()
+        begins = np.fromiter((a for a, _ in done.offsets), np.int64, len(done.ids))
+        places = np.cumsum([0, *(len(w) + 1 for w in words)])
+        cuts = (4 * np.searchsorted(begins, places)).tolist()
+        self.known.update((w, ids[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
+
+    def learn(self, texts: list[list[str]]) -> None:
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        plain, wanted = [], {}
+        for word in set().union(*texts).difference(known):
+            if (found := older.get(word)) is not None:
+                known[word] = found
+                continue
+            letters = word.rstrip(ENDINGS)
+            # a final sigma is the one letter whose lower case depends on its place
+            if letters.isalpha() and "Σ" not in letters:
+                parts = (letters.lower(), word[len(letters) :])
+                plain.append((word, parts))
+                for part in parts:
+                    if part and part not in known:
+                        wanted[part] = None
+            else:
+                wanted[word] = None
+        self.encode(list(wanted))
+        for word, (letters, ending) in plain:
+            known[word] = known[letters] + known[ending] if ending else known[letters]
+
+    def of_texts(self, texts: list[str]) -> list[bytes]:
+        odd = [any(c in text for c in self.odd) for text in texts]
+        words = [[] if o else text.split() for text, o in zip(texts, odd)]
+        self.learn(words)
+        at = self.known.__getitem__
+        return [self.ids(text) if o else b"".join(map(at, w)) for text, o, w in zip(texts, odd, words)]
 
 
 #: Kept from task to task by a Python worker.
@@ -67,10 +103,10 @@ def _tokenized(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id
     end, size = np.array([end_id], "<u4").tobytes(), 4 * window
     task, row, full = TaskContext.get().partitionId(), 0, 0
     seen: dict[int, int] = defaultdict(int)
-    for batch in slices(batches):
+    for batch in slices(batches, TOKENIZED):
         out: dict[str, list] = {k: [] for k in ("row", "doc_tokens", "full_rank", "full_crc", "tail", "rank", "tail_crc", "tail_ids")}
-        for text in batch.column("text").to_pylist():
-            ids = words.of_text(text or "") + end
+        for ids in words.of_texts([text or "" for text in batch.column("text").to_pylist()]):
+            ids += end
             n_full = len(ids) // size
             tail = ids[n_full * size :]
             length = len(tail) // 4
