@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..sources.scratch import save
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _unfinished(e: DataFrame) -> bool:
+    """Whether some node hangs on two others, or on one that hangs on another."""
+    ends = F.array(F.struct(F.col("hi").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")), F.struct(F.col("lo").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    nodes = e.select(F.explode(ends).alias("x")).select("x.*").groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return not nodes.where("hangs + holds > 1").where("hangs > 0").isEmpty()
 
 
 def _star(links: DataFrame) -> DataFrame:
@@ -31,8 +33,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges.where("u <> v").select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct(),
         "edges",
     )
-    mark = _mark(e)
-    while True:
+    while _unfinished(e):
         both = e.select(F.col("hi").alias("a"), F.col("lo").alias("b")).union(e.select("lo", "hi"))
         large = _star(both).where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         starred = _star(large)
@@ -40,8 +41,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
             starred.select(F.col("a").alias("hi"), F.col("m").alias("lo"))
         )
         e = save(small.distinct(), "edges")
-        before, mark = mark, _mark(e)
-        if mark == before:
-            break
     roots = e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return roots.union(e.select("lo", "lo").distinct())
