@@ -22,14 +22,14 @@ def n_words(text: str = "text") -> Column:
 
 
 def targets(units: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """units (source, size) -> source, n, source_size, target: one row per source.
+    """units (source, size, m: how many) -> source, n, source_size, target: one row per source.
 
     Sources in code point order, null last, get the weights in turn. A target is
     level * weight, but no more than MOST times its source: sources ordered by
     how soon they are full are filled up, and the first level that the next one
     can bear is the level of all that follow.
     """
-    sizes = units.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
+    sizes = units.groupBy("source").agg(F.sum("m").alias("n"), F.sum(F.col("size") * F.col("m")).alias("source_size"))
     nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (nth % len(weights) + 1).cast("int"))
     full = F.col("full")
@@ -103,7 +103,7 @@ def copies(units: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     FAN units, however large its source.
     """
     alike = save(units.groupBy("key", "source", "size").agg(F.count("*").alias("m")), "alike")
-    goals = save(targets(alike.select("source", "size", F.explode(F.sequence(F.lit(1), F.col("m").cast("int")))).select("source", "size"), weights), "targets")
+    goals = save(targets(alike, weights), "targets")
     share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0)
     rows = (
         alike.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))).alias("i"))

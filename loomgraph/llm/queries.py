@@ -70,7 +70,9 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
-    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema)
+    kind = {f.name: f.dataType for f in rows.schema}
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(2).select(F.lit(-1).cast(kind["conv_id"]).alias("conv_id"), F.col("id").cast(kind["turn"]).alias("turn"), role.alias("role"), F.lit(probe).alias("text"))
     return chat.conversation_digests(rows.unionByName(more))
 
 

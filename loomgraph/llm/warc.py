@@ -168,7 +168,8 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     twice = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1").drop("n")
     other = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     records = rows.join(twice, "digest", "left").select("page_id", "url", "html", "digest", F.when(other, F.col("response")).alias("refers_to"))
-    sample = rows.orderBy(F.xxhash64("url", "page_id"), "page_id").limit(SAMPLE).select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"), "digest")
+    starts = rows.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"), "digest")
+    sample = starts.orderBy(F.xxhash64("url", "page_id"), "page_id").limit(SAMPLE)
     samples = [page_record(r.page_id, r.url, r.html.encode("utf-8", "surrogatepass"), r.digest, None) for r in sample.collect()]
     system, path = _file(folder)
     system.create_dir(path, recursive=True)
