@@ -48,12 +48,12 @@ def _asked(*parts: str, system: str | None = None, answer: str) -> Callable[[],
 MAPPINGS: dict[str, tuple[tuple[str, ...], Callable[[], Column]]] = {
     "turn_row": (("role", "text"), lambda: F.array(_turn(F.col("role"), F.col("text")))),
     "turn_row_content": (("content", "role"), lambda: F.array(_turn(F.col("role"), F.col("content")))),
-    "prompt_response": (("prompt", "response"), lambda: _asked("prompt", answer="response")),
-    "prompt_completion": (("completion", "prompt"), lambda: _asked("prompt", answer="completion")),
-    "question_answer": (("answer", "question"), lambda: _asked("question", answer="answer")),
-    "instruction_output": (("instruction", "output"), lambda: _asked("instruction", answer="output")),
-    "instruction_input_output": (("input", "instruction", "output"), lambda: _asked("instruction", "input", answer="output")),
-    "system_instruction_output": (("instruction", "output", "system"), lambda: _asked("instruction", system="system", answer="output")),
+    "prompt_response": (("prompt", "response"), _asked("prompt", answer="response")),
+    "prompt_completion": (("completion", "prompt"), _asked("prompt", answer="completion")),
+    "question_answer": (("answer", "question"), _asked("question", answer="answer")),
+    "instruction_output": (("instruction", "output"), _asked("instruction", answer="output")),
+    "instruction_input_output": (("input", "instruction", "output"), _asked("instruction", "input", answer="output")),
+    "system_instruction_output": (("instruction", "output", "system"), _asked("instruction", system="system", answer="output")),
     "messages": (("messages[].content", "messages[].role"), _list("messages", "role", "content")),
     "messages_text": (("messages[].role", "messages[].text"), _list("messages", "role", "text")),
     "conversations": (("conversations[].from", "conversations[].value"), _list("conversations", "from", "value")),

@@ -144,7 +144,7 @@ def copies(units: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     facts = goals.select(F.col("source").alias("of"), "source_size", "target", F.floor(share + 1e-12).cast("int").alias("base"))
     out = ["key", "i", "size", "source", "source_size", "target", "copies"]
     drawn = taken.join(facts, F.col("source").eqNullSafe(F.col("of"))).withColumn("copies", F.col("base") + F.col("take"))
-    return rows.where(~fractional).withColumn("copies", F.col("base")).select(*out).unionByName(drawn.select(*out))
+    return rows.where(~fractional).withColumn("copies", F.when(F.col("size") > 0, F.col("base")).otherwise(0)).select(*out).unionByName(drawn.select(*out))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
