@@ -190,12 +190,12 @@ def search(vectors: DataFrame, asks: Column, k: int = 20) -> DataFrame:
     parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = keyed.repartitionByRange(parts, "curve", "key", "rep").sortWithinPartitions("curve", "key", "rep", "query")
     numbered = save(ordered.mapInArrow(_numbered, f"curve int, key bigint, query boolean, rep {kind}, vector array<double>, task int, place bigint"), "numbered")
-    counts = numbered.groupBy("task", "curve").agg(F.count_if(~F.col("query")).alias("n")).collect()
-    base, at = {}, dict.fromkeys(range(CURVES), 0)
-    for task, curve, n in sorted(counts):
-        base[task, curve], at[curve] = at[curve], at[curve] + n
-    starts = F.create_map(*(x for (t, c), n in base.items() for x in (F.lit(t * CURVES + c), F.lit(n))))
-    block = F.floor((F.col("place") + starts[F.col("task") * CURVES + F.col("curve")]) / BLOCK)
+    counts = numbered.groupBy("task", "curve").agg(F.count_if(~F.col("query")).alias("n"))
+    earlier = Window.partitionBy("curve").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each partition and curve
+    starts = counts.select("task", "curve", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    numbered = numbered.join(F.broadcast(starts), ["task", "curve"])
+    block = F.floor((F.col("place") + F.col("start")) / BLOCK)
     spread = F.when(F.col("query"), F.array(block - 1, block, block + 1)).otherwise(F.array(block))
     blocks = numbered.select("curve", "query", "rep", "vector", F.explode(spread).alias("block"))
     found = blocks.groupBy("curve", "block").applyInArrow(lambda table: _nearest(table, k + 1), "asked bigint, found bigint, score double")
