@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..sources.scratch import save, shared_dir
 
-__all__ = ["bit_majority", "connected_components", "read", "save", "shared_dir", "slices", "type_of"]
+__all__ = ["bit_majority", "connected_components", "hash_sample", "read", "save", "shared_dir", "slices", "type_of"]
 
 #: Rows turned into Python objects at a time, so that a batch of long texts stays small.
 SLICE = 256
@@ -21,6 +23,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most n rows of df, those with the least hashes of their keys.
+
+    Rows whose hash is far above what n of them need go first, so that no task
+    hands on n rows of its own. A row that repeats often may leave fewer than n.
+    """
+    total = df.count()
+    bits = 1 << 31
+    order = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    near = df.where(order < min(bits, math.ceil(bits * (2 * n + 200) / max(total, 1))))
+    return near.orderBy(order, *keys).limit(n)
+
+
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, size):

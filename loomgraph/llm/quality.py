@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, type_of
+from .common import hash_sample, slices, type_of
 
 #: Labelled documents, of those with the least hashes, that are learned from.
 SAMPLE = 20_000
@@ -176,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn) -> Model:
     """
     known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    known = hash_sample(known, SAMPLE, "doc_id")
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("quality", "text")
     rows = sample.mapInArrow(_features, "quality int, x array<double>").orderBy("quality", "x").limit(2 * SAMPLE).toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(len(rows), len(FEATURES))

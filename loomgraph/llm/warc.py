@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, shared_dir, type_of
+from .common import hash_sample, save, shared_dir, type_of
 
 #: Payloads of so many bytes or more are archived once; the others that equal one revisit it.
 REVISIT_BYTES = 1000
@@ -169,7 +169,7 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     other = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
     records = rows.join(twice, "digest", "left").select("page_id", "url", "html", "digest", F.when(other, F.col("response")).alias("refers_to"))
     starts = rows.select("page_id", "url", F.substring("html", 1, SAMPLE_BYTES).alias("html"), "digest")
-    sample = starts.orderBy(F.xxhash64("url", "page_id"), "page_id").limit(SAMPLE)
+    sample = hash_sample(starts, SAMPLE, "url", "page_id")
     samples = [page_record(r.page_id, r.url, r.html.encode("utf-8", "surrogatepass"), r.digest, None) for r in sample.collect()]
     system, path = _file(folder)
     system.create_dir(path, recursive=True)
