@@ -10,8 +10,8 @@ from ..schema import NODE_TAGS
 from ..sources.scratch import save
 from .analytics import degrees, god_nodes
 
-#: Levels of a walk that stay one plan; deeper ones are cut by tables in the shared folder.
-FUSED_LEVELS = 3
+#: Steps of a walk that stay one plan; of a longer one each level is a table in the shared folder.
+FUSED_LEVELS = 1
 #: Bytes of a line at least, which bounds the lines that a budget can hold.
 LEAST_LINE = 8
 #: Neighbours that a node's line names.
@@ -22,8 +22,8 @@ def levels(links: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
     """links (src, dst), seeds (id) -> id, depth: nodes within so many steps, with the fewest.
 
     Each level is one join of the frontier and an anti join with what has been
-    seen. A walk of a few steps is a single lazy plan; of a longer one each level
-    is written to the shared folder, and it ends when a level is empty.
+    seen. A level is needed twice by the next, so of a longer walk each is written
+    to the shared folder rather than planned again; it ends when a level is empty.
     """
     seen = seeds.select("id", F.lit(0).alias("depth")).distinct()
     frontier, fused = seen, depth is not None and depth <= FUSED_LEVELS
