@@ -19,8 +19,9 @@ from .common import save, slices, type_of
 CACHE_WORDS = 400_000
 #: Documents whose words are looked up together.
 TOKENIZED = 512
-#: What words of letters alone mostly end with.
-ENDINGS = ".,;:!?"
+#: Signs that are taken off words, and what a text must not hold for that.
+TAKEN_OFF = (".", ",")
+RUNS = ("..", ",,", ".,", ",.", "<|")
 #: The shortest of three lengths that fill a window together is a multiple of window / this.
 TRIPLE_STEPS = 32
 ROUNDS = 80
@@ -30,17 +31,25 @@ class WordIds:
     """Ids of texts, as little-endian 32-bit numbers, from those of their words.
 
     The tokenizer never joins characters across white space, so a text's ids are
-    those of its words in order, and most words have been seen before. It parts
-    letters from punctuation and ignores case, so a word of letters and an ending
-    needs only its letters looked up. New words are encoded together, in one text,
-    and told apart by where their ids begin.
+    those of its words in order, and most words have been seen before. It ignores
+    case and parts letters from punctuation, so in most texts full stops and commas
+    can be taken off first, which leaves fewer different words. New words are
+    encoded together, in one text, and told apart by where their ids begin or end.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: For lower-case Latin letters, on which the normalizer does nothing.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        #: Words by their ids, in two generations.
         self.known, self.older = {}, {}
+        #: Known words that end with a sign, with which one taken off behind them would be a single run.
+        self.signed = set()
         spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
         apart = self.ids("a") + self.ids("b")
         #: What str.split() parts at, but the tokenizer may not.
@@ -49,44 +58,66 @@ class WordIds:
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, words: list[str]) -> None:
-        """Learns words of which none is known."""
+    def learn(self, texts: list[list[str]]) -> None:
+        words = list(set().union(*texts).difference(self.known))
         if not words:
             return
-        done = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(done.ids, "<u4").tobytes()
-        begins = np.fromiter((a for a, _ in done.offsets), np.int64, len(done.ids))
-        places = np.cumsum([0, *(len(w) + 1 for w in words)])
-        cuts = (4 * np.searchsorted(begins, places)).tolist()
-        self.known.update((w, ids[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
+        self.signed.update(w for w in words if not w[-1].isalnum() and w not in TAKEN_OFF)
+        letters, others = [], []
+        for w in words:
+            if (found := self.older.get(w)) is not None:
+                self.known[w] = found
+            elif w.isalpha() and w.islower() and max(w) <= "\xff":
+                letters.append(w)
+            else:
+                others.append(w)
+        self.encode_letters(letters)
+        self.encode(others)
 
-    def learn(self, texts: list[list[str]]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        plain, wanted = [], {}
-        for word in set().union(*texts).difference(known):
-            if (found := older.get(word)) is not None:
-                known[word] = found
-                continue
-            letters = word.rstrip(ENDINGS)
-            # a final sigma is the one letter whose lower case depends on its place
-            if letters.isalpha() and "Σ" not in letters:
-                parts = (letters.lower(), word[len(letters) :])
-                plain.append((word, parts))
-                for part in parts:
-                    if part and part not in known:
-                        wanted[part] = None
+    def encode(self, words: list[str]) -> None:
+        if words:
+            done = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            begins = np.fromiter((a for a, _ in done.offsets), np.int64, len(done.ids))
+            self.split(words, np.array(done.ids, "<u4"), np.searchsorted(begins, np.cumsum([0, *(len(w) + 1 for w in words)])))
+
+    def encode_letters(self, words: list[str]) -> None:
+        """Of a word of letters only the last id ends a word, if the vocabulary marks ends."""
+        if words:
+            ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                self.split(words, ids, np.concatenate([[0], ends]))
             else:
-                wanted[word] = None
-        self.encode(list(wanted))
-        for word, (letters, ending) in plain:
-            known[word] = known[letters] + known[ending] if ending else known[letters]
+                self.encode(words)
+
+    def split(self, words: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
+        data, cuts = ids.tobytes(), (4 * cuts).tolist()
+        self.known.update((w, data[a:b]) for w, a, b in zip(words, cuts, cuts[1:]))
+
+    def words(self, text: str) -> list[str]:
+        """A text's words without the stops and commas at their ends, which are words of their own.
+
+        Only of texts of Latin letters, whose lower case depends on nothing around
+        them, without control tokens and without two such signs in a row.
+        """
+        if any(x in text for x in RUNS):
+            return []
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return []
+        return f"{text.lower()} ".replace(", ", " , ").replace(". ", " . ").replace(".\n", " .\n").split()
 
     def of_texts(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older, self.signed = {}, self.known, set()
         odd = [any(c in text for c in self.odd) for text in texts]
-        words = [[] if o else text.split() for text, o in zip(texts, odd)]
+        words = [[] if o else self.words(text) for text, o in zip(texts, odd)]
         self.learn(words)
+        # signs before a sign that was taken off belong to one run: such texts are taken word by word as they are
+        whole = [not o and (not w or not self.signed.isdisjoint(w)) for w, o in zip(words, odd)]
+        words = [text.split() if x else w for text, w, x in zip(texts, words, whole)]
+        self.learn([w for w, x in zip(words, whole) if x])
         at = self.known.__getitem__
         return [self.ids(text) if o else b"".join(map(at, w)) for text, o, w in zip(texts, odd, words)]
 
