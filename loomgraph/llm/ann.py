@@ -20,6 +20,8 @@ CURVES = 8
 AXES, BITS = 8, 7
 #: Neighbouring vectors on a curve that meet; a query sees its own block and those beside it.
 BLOCK = 4096
+#: Blocks of a curve at most. Larger tables have larger blocks, as recall goes by the share that a query sees.
+BLOCKS = 20
 SEED = 20
 
 
@@ -145,6 +147,11 @@ def _nearest(table: pa.Table, k: int) -> pa.Table:
     return pa.table({"asked": join(asked, np.int64), "found": join(found, np.int64), "score": join(scores, np.float64)})
 
 
+def block_size(n: int) -> int:
+    """Vectors in a block of n."""
+    return max(BLOCK, -(-n // BLOCKS))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, embedding) without null, zero and non-finite vectors, and of the commonest length, as vector."""
     x = F.col("embedding").cast("array<double>")
@@ -165,9 +172,10 @@ def search(vectors: DataFrame, asks: Column, k: int = 20) -> DataFrame:
 
     Every vector is put on CURVES Hilbert curves, range-partitioned by its key, and
     numbered along each; queries meet the vectors of their block and of both
-    neighbours, and the best of all curves are merged by exact scores. Blocks have
-    a fixed size, so work grows with the rows; up to three blocks the search is
-    exact. Null, zero and non-finite vectors and those of another length than the
+    neighbours, and the best of all curves are merged by exact scores. Blocks
+    have BLOCK vectors, or a BLOCKS-th of all if that is more, so that a query sees
+    the same share of a curve, and finds as much, in a table of any size; work then
+    grows with rows times queries. Up to three blocks the search is exact. Null, zero and non-finite vectors and those of another length than the
     most common one take no part; an empty table gives an empty result.
     """
     kind = type_of(vectors, "vec_id")
@@ -182,7 +190,7 @@ def search(vectors: DataFrame, asks: Column, k: int = 20) -> DataFrame:
     asking = good.groupBy("vector").agg(F.max("asks").alias("asks"))
     distinct = save(distinct.join(asking, "vector"), "distinct")
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v * v))
-    facts = distinct.agg(F.max(length).alias("longest"), F.avg(length * length).alias("square"), *(F.avg(F.col("vector")[i]).alias(f"m{i}") for i in range(width.w))).first()
+    facts = distinct.agg(F.count("*").alias("n"), F.max(length).alias("longest"), F.avg(length * length).alias("square"), *(F.avg(F.col("vector")[i]).alias(f"m{i}") for i in range(width.w))).first()
     mean = np.array([facts[f"m{i}"] for i in range(width.w)] + [0.0])
     deviation = math.sqrt(max(facts.square - float(mean @ mean), 0) / width.w)
     curves = Curves(width.w, facts.longest, mean, deviation)
@@ -195,7 +203,7 @@ def search(vectors: DataFrame, asks: Column, k: int = 20) -> DataFrame:
     # a row for each partition and curve
     starts = counts.select("task", "curve", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
     numbered = numbered.join(F.broadcast(starts), ["task", "curve"])
-    block = F.floor((F.col("place") + F.col("start")) / BLOCK)
+    block = F.floor((F.col("place") + F.col("start")) / block_size(facts.n))
     spread = F.when(F.col("query"), F.array(block - 1, block, block + 1)).otherwise(F.array(block))
     blocks = numbered.select("curve", "query", "rep", "vector", F.explode(spread).alias("block"))
     found = blocks.groupBy("curve", "block").applyInArrow(lambda table: _nearest(table, k + 1), "asked bigint, found bigint, score double")

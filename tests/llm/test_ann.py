@@ -64,6 +64,25 @@ def test_vectors_of_any_length_by_inner_product(spark):
     compare(sorted(tuple(r) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect()), slow(rows))
 
 
+@pytest.mark.parametrize("n", [3_000, 30_000])
+def test_recall_does_not_fall_with_the_rows(monkeypatch, n):
+    monkeypatch.setattr(ann, "BLOCK", 300)
+    random = np.random.default_rng(3)
+    x = random.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    curves = ann.Curves(64, 1.0, np.append(x.mean(axis=0), 0.0), 1 / 8)
+    data, asked = curves.keys(x, False), curves.keys(x[:50], True)
+    seen = np.zeros((50, n), bool)
+    for c in range(ann.CURVES):
+        order = np.argsort(data[:, c], kind="stable")
+        block = np.empty(n, int)
+        block[order] = np.arange(n) // ann.block_size(n)
+        own = np.searchsorted(data[order, c], asked[:, c]) // ann.block_size(n)
+        seen |= abs(block - own[:, None]) <= 1
+    best = np.argsort(-(x[:50] @ x.T), axis=1)[:, 1:21]
+    assert np.take_along_axis(seen, best, axis=1).mean() >= 0.85
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the tables")
 def test_recall_with_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 160)  # 24 % of 2000 vectors a curve
