@@ -272,14 +272,14 @@ CONTAINS_SQL = f"{GRAPH_SQL}, links as (select * from edges where kind = 'Contai
  select cast(nth as integer) as nth, id, depth, line from run where used <= {3 * BUDGET} or nth = 1""")
 def _bfs_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = graph(spark, sf_dir)
-    found = traverse.bfs_context(nodes, edges.where(F.col("kind") == "Contains"), TOPIC, BUDGET, "out", 2)
+    found = traverse.bfs_context(nodes, edges, TOPIC, BUDGET, "out", 2)
     return found.select("nth", "id", "depth", "line")
 
 
 @query("dfs_context")
 def _dfs_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = graph(spark, sf_dir)
-    return traverse.dfs_context(nodes, edges.where(F.col("kind") == "Contains"), TOPIC, BUDGET, 2).select("nth", "id", "line")
+    return traverse.dfs_context(nodes, edges, TOPIC, BUDGET, 2).select("nth", "id", "line")
 
 
 @query("callers", f"""{GRAPH_SQL}, walk as (select 'supplier::1' as id, 0 as depth union select e.from_id, w.depth + 1 from walk w join edges e on e.to_id = w.id and e.kind = 'Calls' where w.depth < 2)
@@ -349,4 +349,4 @@ def _modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("louvain")
 def _louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = graph(spark, sf_dir)
-    return assign_communities(nodes, edges.where(F.col("kind") == "Contains")).select("id", "community")
+    return assign_communities(nodes, edges).select("id", "community")
