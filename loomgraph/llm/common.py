@@ -7,13 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..sources.scratch import save, shared_dir
 
-__all__ = ["bit_majority", "connected_components", "hash_sample", "read", "save", "shared_dir", "slices", "type_of"]
+__all__ = ["all_columns", "bit_majority", "connected_components", "free_names", "hash_sample", "quoted", "read", "save", "shared_dir", "slices", "type_of"]
 
 #: Rows turned into Python objects at a time, so that a batch of long texts stays small.
 SLICE = 256
@@ -42,6 +42,26 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.
             yield batch.slice(at, size)
 
 
+def quoted(column: str) -> Column:
+    """A column of exactly that name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def all_columns(df: DataFrame) -> list[Column]:
+    return [quoted(c) for c in df.columns]
+
+
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for columns beside those of df, as like the wanted ones as can be."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def type_of(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 

@@ -53,11 +53,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
-    removed = F.coalesce(F.size("__removed"), F.lit(0))
     return done.select(
         "doc_id",
-        F.when(F.col("__removed").isNull(), F.lit(0)).otherwise(removed).alias("n_removed"),
-        F.array_sort("__removed").alias("removed_lines"),
+        F.coalesce(F.size("removed_lines"), F.lit(0)).alias("n_removed"),
+        F.array_sort("removed_lines").alias("removed_lines"),
         F.length("text").cast("bigint").alias("kept_chars"),
         F.md5("text").alias("kept_md5"),
     )
