@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import all_columns, free_names, quoted, save
 
 #: Weights of the sources in order, from the first again after the last.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -163,13 +163,15 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
 def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with the columns of docs.
 
-    Rows equal in doc_id, text and source share their copies out evenly.
+    Rows equal in doc_id, text and source share their copies out evenly. Other
+    columns, of any name, are left as they are.
     """
-    keyed = docs.withColumn("__text", F.xxhash64("text")).withColumn("__source", F.col("source"))
-    units = keyed.select(F.struct("doc_id", "__text").alias("key"), "source", n_words().alias("size"))
-    total = copies(units, weights).groupBy("key", "source").agg(F.sum("copies").alias("__n"), F.count("*").alias("__m"))
-    total = total.select(F.col("key.doc_id").alias("__id"), F.col("key.__text").alias("__t"), F.col("source").alias("__s"), "__n", "__m").where("__n > 0")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "__text", "__source").orderBy(F.lit(0)))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__text").eqNullSafe(F.col("__t")) & F.col("__source").eqNullSafe(F.col("__s"))
-    each = (F.col("__n") / F.col("__m")).cast("int") + (F.col("__nth") <= F.col("__n") % F.col("__m")).cast("int")
-    return keyed.withColumn("__nth", nth).join(total, same).select(*docs.columns, F.explode(F.array_repeat(F.lit(1), each)).alias("__copy")).select(*docs.columns)
+    own, nth, id_, text, source, n, m, copy = free_names(docs, "own", "nth", "id", "th", "of", "n", "m", "copy")
+    keyed = docs.select(*all_columns(docs), F.xxhash64("text").alias(own))
+    units = keyed.select(F.struct("doc_id", quoted(own).alias("text")).alias("key"), "source", n_words().alias("size"))
+    total = copies(units, weights).groupBy("key", "source").agg(F.sum("copies").alias("n"), F.count("*").alias("m")).where("n > 0")
+    total = total.select(F.col("key.doc_id").alias(id_), F.col("key.text").alias(text), F.col("source").alias(source), F.col("n").alias(n), F.col("m").alias(m))
+    numbered = keyed.withColumn(nth, F.row_number().over(Window.partitionBy("doc_id", quoted(own), "source").orderBy(F.lit(0))))
+    same = F.col("doc_id").eqNullSafe(quoted(id_)) & quoted(own).eqNullSafe(quoted(text)) & F.col("source").eqNullSafe(quoted(source))
+    each = (quoted(n) / quoted(m)).cast("int") + (quoted(nth) <= quoted(n) % quoted(m)).cast("int")
+    return numbered.join(total, same).select(*all_columns(docs), F.explode(F.array_repeat(F.lit(1), each)).alias(copy)).select(*all_columns(docs))
