@@ -23,6 +23,8 @@ BLOCK = 4096
 #: Blocks of a curve at most. Larger tables have larger blocks, as recall goes by the share that a query sees.
 BLOCKS = 20
 SEED = 20
+#: Vectors beyond those wanted whose scores are summed exactly, as rounding may have put them behind.
+SPARE = 8
 
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -118,8 +120,17 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*batch.columns, pa.array(np.full(len(curve), task, np.int32)), pa.array(place)], names=[*batch.schema.names, "task", "place"])
 
 
+def _scores(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from the first component to the last, so that a pair has one score wherever it meets."""
+    return np.add.accumulate(x * y, axis=1)[:, -1]
+
+
 def _nearest(table: pa.Table, k: int) -> pa.Table:
-    """The best k vectors of a block for each of its queries."""
+    """The best k vectors of a block for each of its queries.
+
+    A matrix product, whose rounding depends on its shape, picks SPARE more than
+    k, and all that are as near as the last of them.
+    """
     asks = table.column("query").combine_chunks().to_numpy(zero_copy_only=False)
     rep = table.column("rep").combine_chunks().to_numpy(zero_copy_only=False)
     x = _matrix(table.column("vector").combine_chunks()) if len(table) else np.zeros((0, 1))
@@ -130,19 +141,16 @@ def _nearest(table: pa.Table, k: int) -> pa.Table:
     for at in range(0, len(queries) if len(ids) else 0, 512):
         part = queries[at : at + 512]
         s = x[part] @ data.T
-        if s.shape[1] > k:
-            # the k-th best, and all that tie with it: ids ascend, so a stable sort keeps the least
-            edge = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
-            for row, (line, least) in enumerate(zip(s, edge)):
-                hit = np.flatnonzero(line >= least)
-                hit = hit[np.argsort(-line[hit], kind="stable")][:k]
-                asked.append(np.full(len(hit), rep[part[row]]))
-                found.append(ids[hit])
-                scores.append(line[hit])
-        else:
-            asked.append(np.repeat(rep[part], s.shape[1]))
-            found.append(np.tile(ids, len(part)))
-            scores.append(s.ravel())
+        most = min(k + SPARE, s.shape[1])
+        edge = np.partition(s, s.shape[1] - most, axis=1)[:, s.shape[1] - most]
+        for row, (line, least) in enumerate(zip(s, edge)):
+            hit = np.flatnonzero(line >= least)
+            score = _scores(x[part[row]][None, :], data[hit])
+            # ids ascend, so a stable sort keeps the least of those that tie
+            order = np.argsort(-score, kind="stable")[:k]
+            asked.append(np.full(len(order), rep[part[row]]))
+            found.append(ids[hit[order]])
+            scores.append(score[order])
     join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
     return pa.table({"asked": join(asked, np.int64), "found": join(found, np.int64), "score": join(scores, np.float64)})
 
@@ -165,7 +173,8 @@ def usable(vectors: DataFrame) -> DataFrame:
 def search(vectors: DataFrame, asks: Column, k: int = 20) -> DataFrame:
     """vectors (vec_id, embedding, ...) -> query_id, rank, vec_id, score for each row that asks.
 
-    score is the inner product in double precision; nearest first, ties to the
+    score is the inner product in double precision, summed from the first
+    component to the last; nearest first, ties to the
     smaller vec_id; a row is no candidate of its own query. Rows alike in id and
     vector count once. Equal vectors are indexed once, with the k + 1 least ids,
     of which no query can want more, so a vector that many rows share costs one.
@@ -175,8 +184,9 @@ def search(vectors: DataFrame, asks: Column, k: int = 20) -> DataFrame:
     neighbours, and the best of all curves are merged by exact scores. Blocks
     have BLOCK vectors, or a BLOCKS-th of all if that is more, so that a query sees
     the same share of a curve, and finds as much, in a table of any size; work then
-    grows with rows times queries. Up to three blocks the search is exact. Null, zero and non-finite vectors and those of another length than the
-    most common one take no part; an empty table gives an empty result.
+    grows with rows times queries. Up to three blocks the search is exact. Null,
+    zero and non-finite vectors and those of another length than the most common
+    one take no part; an empty table gives an empty result.
     """
     kind = type_of(vectors, "vec_id")
     good = usable(vectors)
@@ -222,3 +232,12 @@ def search(vectors: DataFrame, asks: Column, k: int = 20) -> DataFrame:
         .where(F.col("rank") <= k)
         .select("query_id", "rank", F.col("vec_id").cast(kind).alias("vec_id"), "score")
     )
+
+
+#: What search() returns for every 20th vector of a view embeddings while it is exact, in SQL.
+SQL = """with good as (select vec_id, cast(embedding as double[]) as v from embeddings
+ where vec_id is not null and embedding is not null and len(embedding) = len(list_filter(embedding, lambda x: x is not null and isfinite(x))) and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ width as (select len(v) as w from good group by 1 order by count(*) desc, 1 limit 1), held as (select distinct * from good where len(v) = (select w from width)),
+ scored as (select a.vec_id as query_id, b.vec_id, list_inner_product(a.v, b.v) as score from held a join held b on a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
+ ranked as (select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 20"""
