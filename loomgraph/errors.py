@@ -7,3 +7,7 @@ class ScanError(Exception):
 
 class InvalidRoot(ScanError):
     """A project root that doesn't exist."""
+
+
+class ScratchError(Exception):
+    """No folder that all executors share."""

@@ -13,8 +13,8 @@ from .components import connected_components
 
 #: Components of more nodes are clustered by rounds of joins, not in one task.
 LOCAL_NODES = 50_000
-#: Rounds of the distributed form at most.
-ROUNDS = 20
+#: In a round of the distributed form a node in so many moves; more, once no round of that size gains anything.
+SHARES = (2, 4, 8, 16)
 
 
 def optimise(n: int, weights: dict[tuple[int, int], float], degree: list[float], m: float) -> list[int]:
@@ -83,33 +83,68 @@ def _numbered(at: list[int]) -> list[int]:
     return [names.setdefault(c, len(names)) for c in at]
 
 
-def _distributed(nodes: DataFrame, edges: DataFrame, m: int) -> DataFrame:
-    """(id, community id) by rounds of moves: every other node, by hash, takes its best neighbouring community.
+def _moved(state: DataFrame, links: DataFrame, m: float) -> DataFrame:
+    """state (id, degree, loop, c) -> (id, degree, loop, old, c): where each node gains most, staying where nothing gains more."""
+    totals = state.groupBy("c").agg(F.sum("degree").alias("total"))
+    near = links.join(state.select(F.col("id").alias("b"), "c"), "b").groupBy(F.col("a").alias("id"), "c").agg(F.sum("w").alias("w"))
+    choice = near.unionByName(state.select("id", "c", F.col("loop").alias("w"))).groupBy("id", "c").agg(F.sum("w").alias("w"))
+    mine = choice.join(totals, "c").join(state.select("id", "degree", "loop", F.col("c").alias("old")), "id")
+    others = F.col("total") - F.when(F.col("c") == F.col("old"), F.col("degree")).otherwise(0)
+    gain = F.col("w") / F.lit(m) - others * F.col("degree") / F.lit(2 * m * m)
+    ranked = mine.select("id", "degree", "loop", "old", F.struct((-gain).alias("loss"), (F.col("c") != F.col("old")).alias("new"), F.col("c").alias("c")).alias("x"))
+    best = ranked.groupBy("id").agg(F.first("degree").alias("degree"), F.first("loop").alias("loop"), F.first("old").alias("old"), F.min("x").alias("x"))
+    return best.select("id", "degree", "loop", "old", F.col("x.c").alias("c"))
 
-    Alternating halves keep neighbours from changing places for ever; rounds end
-    when no node moves.
+
+def _quality(state: DataFrame, links: DataFrame, m: float) -> float:
+    at = lambda end: state.select(F.col("id").alias(end), F.col("c").alias(f"c{end}"))
+    inside = links.join(at("a"), "a").join(at("b"), "b").where("ca = cb").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"))
+    loops = state.agg(F.coalesce(F.sum("loop"), F.lit(0.0)).alias("loop"))
+    squares = state.groupBy("c").agg(F.sum("degree").alias("d")).agg(F.coalesce(F.sum(F.col("d") * F.col("d")), F.lit(0.0)).alias("d"))
+    x = inside.join(F.broadcast(loops)).join(F.broadcast(squares)).first()
+    return (x.w / 2 + x.loop) / m - x.d / (4 * m * m)
+
+
+def _rounds(nodes: DataFrame, links: DataFrame, m: float) -> DataFrame:
+    """nodes (id, degree, loop), links (a, b, w; both ways) -> (id, c), moved in rounds until none gains.
+
+    All nodes choose at once, so only a share, by hash, moves in a round, or
+    neighbours would change places for ever. When a turn of every share has gained
+    nothing, shares get smaller, and with the smallest it ends. What is best so far
+    is returned, and each turn must gain, so it does end.
     """
-    own = degrees(nodes.select("id"), edges)
-    state = save(own.select("id", "degree", F.col("id").alias("c")), "state")
-    links = edges.where("from_id <> to_id").select(F.explode(F.array(F.struct(F.col("from_id").alias("a"), F.col("to_id").alias("b")), F.struct(F.col("to_id").alias("a"), F.col("from_id").alias("b")))).alias("x")).select("x.*")
-    links = save(links.groupBy("a", "b").agg(F.count("*").alias("w")), "links")
-    still = 0
-    for step in range(ROUNDS):
-        totals = state.groupBy("c").agg(F.sum("degree").alias("total"))
-        near = links.join(state.select(F.col("id").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
-        choice = near.withColumnRenamed("a", "id").unionByName(state.select("id", "c", F.lit(0).cast("bigint").alias("w"))).groupBy("id", "c").agg(F.sum("w").alias("w"))
-        mine = choice.join(totals, "c").join(state.select("id", "degree", F.col("c").alias("old")), "id")
-        others = F.col("total") - F.when(F.col("c") == F.col("old"), F.col("degree")).otherwise(0)
-        gain = F.col("w") / F.lit(float(m)) - others * F.col("degree") / F.lit(2.0 * m * m)
-        ranked = mine.select("id", "degree", "old", F.struct((-gain).alias("loss"), (F.col("c") != F.col("old")).alias("new"), F.col("c").alias("c")).alias("x"))
-        best = ranked.groupBy("id").agg(F.first("degree").alias("degree"), F.first("old").alias("old"), F.min("x").alias("x"))
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == step % 2
-        moved = save(best.select("id", "degree", F.when(turn, F.col("x.c")).otherwise(F.col("old")).alias("c"), "old"), "state")
-        changes = moved.where("c <> old").count()
-        state, still = moved.drop("old"), 0 if changes else still + 1
-        if still == 2:
-            break
-    return state.select("id", "c")
+    state = best = save(nodes.select("id", F.col("degree").cast("double").alias("degree"), F.col("loop").cast("double").alias("loop"), F.col("id").alias("c")), "state")
+    most = _quality(state, links, m)
+    for share in SHARES:
+        gained = True
+        while gained:
+            gained = False
+            for turn in range(share):
+                mine = F.pmod(F.xxhash64("id"), F.lit(share)) == turn
+                moved = save(_moved(state, links, m).select("id", "degree", "loop", F.when(mine, F.col("c")).otherwise(F.col("old")).alias("c")), "state")
+                state, quality = moved, _quality(moved, links, m)
+                if quality > most + 1e-9:
+                    best, most, gained = state, quality, True
+            state = best
+    return best.select("id", "c")
+
+
+def _distributed(nodes: DataFrame, edges: DataFrame, m: float) -> DataFrame:
+    """(id, community id): nodes are moved to a fixpoint, then, once, the communities themselves, as in louvain()."""
+    loops = edges.where("from_id = to_id").groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("loop"))
+    own = save(degrees(nodes.select("id"), edges).join(loops, "id", "left").select("id", "degree", F.coalesce("loop", F.lit(0)).alias("loop")), "own")
+    ends = F.array(F.struct(F.col("from_id").alias("a"), F.col("to_id").alias("b")), F.struct(F.col("to_id").alias("a"), F.col("from_id").alias("b")))
+    links = edges.where("from_id <> to_id").select(F.explode(ends).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").cast("double").alias("w"))
+    links = save(links, "links")
+    first = save(_rounds(own, links, m), "first")
+    at = lambda end: first.select(F.col("id").alias(end), F.col("c").alias(f"c{end}"))
+    between = save(links.join(at("a"), "a").join(at("b"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "between")
+    # a link inside is there both ways
+    inside = between.where("a = b").select(F.col("a").alias("id"), (F.col("w") / 2).alias("inside"))
+    sums = own.join(first, "id").groupBy(F.col("c").alias("id")).agg(F.sum("degree").alias("degree"), F.sum("loop").alias("own"))
+    meta = sums.join(inside, "id", "left").select("id", "degree", (F.col("own") + F.coalesce("inside", F.lit(0.0))).alias("loop"))
+    second = _rounds(meta, save(between.where("a <> b"), "meta"), m)
+    return first.join(second.select(F.col("id").alias("c"), F.col("c").alias("top")), "c").select("id", F.col("top").alias("c"))
 
 
 def assign_communities(nodes: DataFrame, edges: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFrame:
@@ -117,7 +152,9 @@ def assign_communities(nodes: DataFrame, edges: DataFrame, local_nodes: int = LO
 
     Components can't gain from each other, so each is clustered by itself: small
     ones in a task each, with nodes in the order of ord, larger ones by rounds of
-    joins. A node without edges is a community.
+    joins. Both move nodes until none gains, then the communities once in the same
+    way; which of several such partitions it is depends on the order of moves, and
+    so on the form. A node without edges is a community.
     """
     m = edges.count()
     if m == 0:
@@ -147,7 +184,7 @@ def assign_communities(nodes: DataFrame, edges: DataFrame, local_nodes: int = LO
         found = small.select("root", "id", "ord").groupBy("root").cogroup(inner.groupBy("home")).applyInPandas(cluster, "id string, c string")
         if not large.isEmpty():
             inside = edges.join(large.select(F.col("id").alias("from_id")), "from_id", "left_semi")
-            found = found.unionByName(_distributed(large, inside, m))
+            found = found.unionByName(_distributed(large, inside, float(m)))
     named = save(nodes.select("id", "ord").join(found, "id"), "found")
     first = named.groupBy("c").agg(F.min(F.struct("ord", "id")).alias("first"))
     # one row per community, numbered by range partitions and their counts

@@ -22,11 +22,17 @@ def levels(links: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
     """links (src, dst), seeds (id) -> id, depth: nodes within so many steps, with the fewest.
 
     Each level is one join of the frontier and an anti join with what has been
-    seen. A level is needed twice by the next, so of a longer walk each is written
-    to the shared folder rather than planned again; it ends when a level is empty.
+    seen. Of a longer walk links and levels, which are needed more than once, are
+    written to the shared folder rather than planned again; it ends when a level
+    is empty.
     """
     seen = seeds.select("id", F.lit(0).alias("depth")).distinct()
-    frontier, fused = seen, depth is not None and depth <= FUSED_LEVELS
+    fused = depth is not None and depth <= FUSED_LEVELS
+    seen = seen if fused else save(seen, "seen")
+    frontier = seen
+    if not fused:
+        # what finds the links may cost more than the walk, so it is done once
+        links = save(links.select("src", "dst"), "links")
     step = 0
     while depth is None or step < depth:
         step += 1
@@ -36,9 +42,8 @@ def levels(links: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
             frontier = save(frontier, "frontier")
             if frontier.isEmpty():
                 break
+        # levels stay as they were written: what has been seen is their union
         seen = seen.unionByName(frontier)
-        if not fused:
-            seen = save(seen, "seen")
     return seen
 
 

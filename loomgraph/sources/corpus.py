@@ -23,6 +23,41 @@ union all select concat('core/n', cast(n_nationkey as varchar(10)), '.rs'), 'rs'
  concat('use axum::Router;', chr(10), 'use sea_orm::entity::prelude::*;', chr(10), '.route("/n/', cast(n_nationkey as varchar(10)), '", get(a))', chr(10), '#[sea_orm(table_name = "n', cast(n_nationkey as varchar(10)), '")]', chr(10), 'pub struct A', cast(n_nationkey as varchar(10)), ' {', chr(10), '}', chr(10), 'pub struct B {', chr(10), '}', chr(10), '.layer(CorsLayer::new())') from nation
 """
 
+#: Files of further kinds, of which each supplier has one; @K@ is its key.
+KIT = [
+    ("web/e@K@.js", "js", "const express = require('express');\napp.get('/e/@K@', h);\napp.use(cors());\nfunction start() { return 1; }\nconst stop = () => { return 2; };\n"),
+    ("web/h@K@.ts", "ts", 'import { Hono } from "hono";\nimport { a } from "./e@K@";\nhono.post("/h/@K@", f);\nexport const Card = () => { return 1; };\nconst small = () => 2;\n'),
+    ("nest/n@K@.ts", "ts", 'import { Controller, Get } from "@nestjs/common";\nexport class C@K@Controller {\n  @Get("list")\n  list() { return 1; }\n  @Post("/made@K@")\n  make() { return 2; }\n}\n'),
+    ("src/app/api/r@K@/route.ts", "ts", "export async function GET(req) { return 1; }\nexport function POST(req) { return 2; }\n"),
+    ("fast/f@K@.py", "py", 'from fastapi import FastAPI\nimport os, sys\napp.add_middleware(CORS, x)\n@router.get("/f/@K@")\nasync def read():\n    return 1\n\nclass Item@K@(Base):\n    def __init__(self):\n        pass\n    def __len__(self):\n        return 0\n    def total(self):\n        return 2\n'),
+    ("old/o@K@.py", "py", "import os.path as p\nclass Old@K@(Left, Right):\n    def show(self):\n        print 'x'\n        def inner(): pass\n    def __str__(self): return ''\ndef after(): pass\n"),
+    ("act/a@K@.rs", "rs", 'use actix_web::{get, App};\nuse crate::store::db;\nuse diesel::prelude::*;\n#[get("/a/@K@")]\nasync fn index() { helper(1); }\nfn helper(n: u8) -> u8 { n }\nmod inner { pub fn deep() { super::helper(2); } }\npub struct Row@K@ { id: i32 }\nimpl Show for Row@K@ { fn show(&self) { helper(3); } }\ntable! {\n    row_sets@K@ (id) {\n        id -> Integer,\n        name -> Text,\n    }\n}\nlet v = std::env::var("ACT_@K@");\nlet app = App::new().wrap(Logger::default());\n'),
+    ("schema/m@K@.prisma", "prisma", "model User@K@ {\n  id    Int     @id\n  email String? @unique\n}\n"),
+    ("db/d@K@.ts", "ts", 'import { pgTable } from "drizzle-orm/pg-core";\n// beside prisma\nexport const order_items = pgTable("items_@K@", {});\n'),
+    ("fib/g@K@.go", "go", 'package main\nimport "github.com/gofiber/fiber/v2"\nimport "gorm.io/gorm"\ntype User@K@ struct {\n  Name string `gorm:"size:1"`\n}\ntype Doer interface { Do() }\nfunc (u *User@K@) Save() int { return 1 }\nfunc main() { app.Get("/g/@K@", h) }\n'),
+    ("ios/v@K@.swift", "swift", "import SwiftUI\nstruct View@K@: View {\n  func body() { }\n}\nclass Box@K@ {\n  init() { }\n}\ntypealias Id@K@ = Int\n"),
+    ("conf/.env.s@K@", "s@K@", "KEY_@K@=1\nOTHER=2\n"),
+    ("docs/t@K@.md", "md", "# Topic @K@\n"),
+]
+
+
+def each_supplier(rows: list[tuple], columns: str) -> str:
+    """SQL of rows for every supplier, texts with its key for @K@; columns: their names."""
+    names = columns.split()
+
+    def value(x: object) -> str:
+        if x is None:
+            return "cast(null as varchar(10))"
+        text = str(x).replace("'", "''")
+        return f"replace('{text}', '@K@', k)" if isinstance(x, str) else text
+
+    selects = (", ".join(f"{value(x)} as {name}" for x, name in zip(row, names)) for row in rows)
+    return " union all ".join(f"select {s} from (select cast(s_suppkey as varchar(10)) as k from supplier) s" for s in selects)
+
+
+#: The kit's files, and one that Rust files of it import.
+KIT_SQL = each_supplier(KIT, "relative extension content") + " union all select 'lib/store/db.rs', 'rs', 'pub struct Db;'"
+
 NODES_SQL = """
 select concat('region::',cast(r_regionkey as varchar(20))) id, r_name as label, 'Module' node_type, 0 as level, cast(r_regionkey as bigint) as num, cast(r_regionkey as bigint) as community from region
 union all select concat('nation::',cast(n_nationkey as varchar(20))), n_name, 'Struct', 1, cast(n_nationkey as bigint), cast(n_regionkey as bigint) from nation
@@ -51,6 +86,13 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"select relative, extension, cast(length(content) as bigint) size, content, cast(0 as bigint) ord from ({FILES_SQL})")
 
 
+def kit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree with the frameworks, mappers and languages that files() lacks, some fourteen files for each supplier."""
+    register(spark, sf_dir)
+    escaped = KIT_SQL.replace("\\", "\\\\")
+    return spark.sql(f"select relative, extension, cast(length(content) as bigint) size, content, cast(0 as bigint) ord from ({escaped})")
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark, sf_dir)
     return spark.sql(f"select id, label, node_type, concat(split(id, '::')[0], '/', id) file, cast(num % 100 as int) line, community, level * 1000000000000 + num ord from ({NODES_SQL})")

@@ -31,8 +31,9 @@ def with_ord(files: DataFrame) -> DataFrame:
 def collect_files(spark: SparkSession, config: ProjectConfig) -> DataFrame:
     """The files below config.root that a scan reads, as schema.FILES.
 
-    Extension and size are tested on metadata, before any content is loaded; texts
-    that aren't UTF-8 are empty. Excluded names are compared with whole segments.
+    Extension, size and excluded folders are tested on the listing, so no other
+    content is loaded; texts that aren't UTF-8 are empty. Excluded names are
+    compared with whole segments.
     """
     root = config.root.rstrip("/")
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(root)
@@ -47,8 +48,14 @@ def collect_files(spark: SparkSession, config: ProjectConfig) -> DataFrame:
     extension = F.regexp_extract("relative", r"[^/]\.([^./]*)\z", 1)
     segments = F.split("relative", "/")
     content = F.coalesce(F.expr("try_validate_utf8(cast(content as string))"), F.lit(""))
+    # These test the listing's own columns. They may let a name through that is written in another way there, but drop none
+    # that the tests of whole segments below would keep.
+    names = "|".join(map(re.escape, config.exclude_dirs))
+    excluded = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").rlike(f"^{re.escape(base)}(.*/)?({names})(/|$)") if names else F.lit(False)
+    endings = F.col("_metadata.file_name").rlike(r"\.(" + "|".join(map(re.escape, config.extensions)) + ")$")
     found = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        .where((F.col("_metadata.file_size") <= config.max_file_size) & endings & ~excluded)
         .where(F.col("length") <= config.max_file_size)
         .withColumn("relative", relative).withColumn("extension", extension)
         .where(F.col("extension").isin(*config.extensions) & ~F.arrays_overlap(segments, F.array(*map(F.lit, config.exclude_dirs))))

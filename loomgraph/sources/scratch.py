@@ -3,26 +3,48 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..errors import ScratchError
+
+#: The setting that keeps this session's folder.
+_OWN = "spark.loomgraph.scratch"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir.
+    """A folder of this session in the one that the cluster names in spark.checkpoint.dir; it is removed at exit.
 
-    Only where that is unset, as in tests on one machine, a folder of our own is
-    made and removed again at exit.
+    Only where that is unset and all runs on one machine, as in tests, is it a
+    temporary folder.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
+    if (at := spark.conf.get(_OWN, None)) and at.startswith(spark.conf.get("spark.checkpoint.dir", None) or at):
+        return at
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ScratchError("spark.checkpoint.dir must name a folder that all executors share")
         own = tempfile.mkdtemp(prefix="loomgraph-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
-        at = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+        base = f"file://{own}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    at = f"{base.rstrip('/')}/loomgraph-{uuid.uuid4().hex}"
+    spark.conf.set(_OWN, at)
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def remove() -> None:
+        # the session may be gone by then, and its folder with it
+        with contextlib.suppress(Exception):
+            system.delete(path, True)
+
+    atexit.register(remove)
+    return at
 
 
 def save(df: DataFrame, tag: str) -> DataFrame:

@@ -77,7 +77,7 @@ def test_server(project):
     assert tool("context")["isError"]
     assert "build_router" in tool("my_context", query="router")["content"][0]["text"]
     assert "2 route(s) detected" in tool("routes")["content"][0]["text"]
-    assert "No routes detected for method=PUT" in tool("routes", method="PUT")["content"][0]["text"]
+    assert "Found no routes for method=PUT" in tool("routes", method="PUT")["content"][0]["text"]
     assert "User [SeaOrm]  table: users" in tool("schemas")["content"][0]["text"]
     assert "Total graph: 6 nodes, 1 edges" in call("god_nodes", {"n": 3}, project)
     assert "Depth 1 callers:" in call("symbol_callers", {"symbol": "build_router"}, project)
