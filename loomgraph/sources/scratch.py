@@ -50,8 +50,9 @@ def shared_dir(spark: SparkSession) -> str:
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again.
 
-    This cuts the lineage, and a lost executor costs none of it.
+    This cuts the lineage, and a lost executor costs none of it. zstd keeps texts
+    to about half of what the default takes.
     """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}/{tag}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

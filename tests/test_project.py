@@ -82,7 +82,7 @@ def test_server(project):
     assert "Total graph: 6 nodes, 1 edges" in call("god_nodes", {"n": 3}, project)
     assert "Depth 1 callers:" in call("symbol_callers", {"symbol": "build_router"}, project)
     assert "Affected routes (2)" in call("blast_radius", {"path": "src/main.rs"}, project)
-    assert "Communities detected" in call("communities", {"min_size": 1}, project)
+    assert "communities (Louvain)" in call("communities", {"min_size": 1}, project)
     assert "Files scanned: 2" in call("scan", {}, project)
     sink = io.StringIO()
     serve(project, io.StringIO('{"jsonrpc":"2.0","id":7,"method":"ping"}\n\n'), sink)

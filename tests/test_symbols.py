@@ -88,7 +88,7 @@ def test_python():
     assert edges(found, "InheritsFrom") == [("A", "Base"), ("A", "metaclass=Meta")]
     assert edges(found, "Contains") == [("A", "__init__"), ("A", "shown"), ("A", "go")]
     assert edges(found, "Imports") == [("__module__", "os::__module__"), ("__module__", "sys::__module__"), ("__module__", ".m::__module__")]
-    assert python_lang.scan("def broken(:", "f").is_empty()
+    assert nodes(python_lang.scan("def broken(:", "f")) == [("broken", "Function", 1)]
 
 
 GO = """package p
@@ -171,3 +171,20 @@ def test_semantic_hook(spark):
     assert semantic_rows(files, None).count() == 0
     assert confidence_of(1.0) == ("Extracted", 1.0)
     assert confidence_of(0.4) == ("Inferred", 0.4)
+
+
+def test_python_that_does_not_parse():
+    text = 'import a.b as c, d\nfrom .e import f\n@x(1)\nkey = """\ndef hidden(): pass\n"""\nclass A(B, c.D[1, 2],\n        metaclass=M):\n    def m(self):\n        print "no parse"\n        def inner(): pass\n    async def n(self): pass\n    def __str__(self): return ""\nclass E: pass\ndef g(a,\n      b): pass\n'
+    found = python_lang.scan(text, "f.py")
+    assert [(n[1], n[2], n[3]) for n in found.nodes] == [("A", "Class", 7), ("m", "Method", 9), ("inner", "Function", 11), ("n", "Method", 12), ("E", "Class", 14), ("g", "Function", 15)]
+    assert [(e[0], e[1], e[2]) for e in found.edges] == [
+        ("f.py::__module__", "a.b::__module__", "Imports"), ("f.py::__module__", "d::__module__", "Imports"), ("f.py::__module__", ".e::__module__", "Imports"),
+        ("f.py::A", "f.py::B", "InheritsFrom"), ("f.py::A", "f.py::c.D[1, 2]", "InheritsFrom"), ("f.py::A", "f.py::metaclass=M", "InheritsFrom"),
+        ("f.py::A", "f.py::m", "Contains"), ("f.py::A", "f.py::n", "Contains"),
+    ]
+
+
+def test_python_by_lines_agrees_with_the_parser():
+    text = "import os, sys as s\nfrom x.y import z\n\n\nclass A(B):\n    '''def no(): pass'''\n    def __init__(self):\n        self.a = [\n            1]\n\n    class C:\n        def d(self): pass\n\n    def __eq__(self, o):\n        def e(): pass\n\n\ndef f():\n    class G(A): pass\n"
+    a, b = python_lang.scan(text, "f.py"), python_lang._by_lines(text, "f.py")
+    assert a.nodes == b.nodes and a.edges == b.edges and len(a.nodes) == 7
