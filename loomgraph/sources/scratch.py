@@ -7,7 +7,9 @@ import contextlib
 import re
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,6 +49,32 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_scopes = threading.local()
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Removes at its end what save() has written inside, but for tables given to the function that it yields."""
+    stack: list[dict[int, tuple[DataFrame, str]]] = _scopes.__dict__.setdefault("stack", [])
+    mine, kept = {}, set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(id(df))
+        return df
+
+    stack.append(mine)
+    try:
+        yield keep
+    finally:
+        stack.pop()
+        for key, (df, path) in mine.items():
+            if key not in kept:
+                at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+            elif stack:
+                stack[-1][key] = (df, path)
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again.
 
@@ -55,4 +83,7 @@ def save(df: DataFrame, tag: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}/{tag}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    if stack := getattr(_scopes, "stack", None):
+        stack[-1][id(table)] = (table, path)
+    return table
