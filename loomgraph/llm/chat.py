@@ -112,8 +112,8 @@ def canonical(df: DataFrame, columns: list[str], *keys: str) -> DataFrame:
 
     Each row's own paths are hashed, elements of arrays included, and select its
     mapping, so rows of different layouts may come in one table. A row of an
-    unknown layout stays, with null turns and layout: who explodes turns must ask
-    for it with explode_outer or by `layout is null`.
+    unknown layout (an empty list has no paths) stays, with null turns and layout:
+    who explodes turns must ask for it with explode_outer or by `layout is null`.
     """
     here = {p for c in columns for p in paths(c, df.schema[c].dataType)}
     known = layouts(here)
@@ -223,7 +223,7 @@ def in_many_layouts(rows: DataFrame) -> DataFrame:
     and value.
     """
     kind = F.pmod(F.coalesce(F.col("conv_id").cast("bigint"), F.lit(0)), F.lit(4))
-    single = rows.where(kind == 0).select("conv_id", F.col("turn").alias("position"), "role", "text")
+    single = rows.where(kind == 0).select("conv_id", F.col("turn").alias("position"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def whole(which: int, column: str, role: str, text: str) -> DataFrame:
         turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

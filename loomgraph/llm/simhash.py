@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scope
 from .candidates import Filter, components, signed
 from .common import all_columns, bit_majority, connected_components, free_names, quoted, save, slices, type_of
 
@@ -229,17 +230,18 @@ def near_copies(docs: DataFrame, *keys: str) -> DataFrame:
     before any search. Texts without a word are alike.
     """
     schema = ", ".join(f"{k} {type_of(docs, k)}" for k in keys) + ", h bigint, size bigint, lanes array<bigint>"
-    prints = save(docs.select(*keys, "text").mapInArrow(_signed_texts, schema), "signatures")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = save(prints.groupBy("h").agg(F.first("size").alias("size"), F.first("lanes").alias("lanes")).repartition(parts), "distinct")
-    items = distinct.select("h", F.col("lanes")[0].alias("sim"), "size")
+    with scope() as keep:
+        prints = save(docs.select(*keys, "text").mapInArrow(_signed_texts, schema), "signatures")
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        distinct = save(prints.groupBy("h").agg(F.first("size").alias("size"), F.first("lanes").alias("lanes")).repartition(parts), "distinct")
+        items = distinct.select("h", F.col("lanes")[0].alias("sim"), "size")
 
-    def texts(wanted: Filter) -> DataFrame:
-        return docs.select("text").mapInArrow(partial(_wanted_texts, wanted=wanted), "h bigint, text string")
+        def texts(wanted: Filter) -> DataFrame:
+            return docs.select("text").mapInArrow(partial(_wanted_texts, wanted=wanted), "h bigint, text string")
 
-    # sizes are words, of which similar sets of shingles may have very different numbers if these repeat
-    roots = components(segment_variants(distinct), items, texts, _jaccard, 1.0, 0)
-    return prints.select(*keys, "h").join(roots, "h", "left").select(*keys, F.coalesce("root", "h").alias("root"))
+        # sizes are words, of which similar sets of shingles may have very different numbers if these repeat
+        roots = components(segment_variants(distinct), items, texts, _jaccard, 1.0, 0)
+        return keep(save(prints.select(*keys, "h").join(roots, "h", "left").select(*keys, F.coalesce("root", "h").alias("root")), "copies"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -252,7 +254,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     id_, th, own_id, own = free_names(docs, "id", "th", "own_id", "own")
     named = docs.select(*all_columns(docs), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(own_id), F.coalesce(F.xxhash64("text"), F.lit(0)).alias(own))
-    grouped = save(near_copies(named.select("doc_id", F.col(own).alias("th"), "text"), "doc_id", "th"), "grouped")
+    grouped = near_copies(named.select("doc_id", F.col(own).alias("th"), "text"), "doc_id", "th")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("least")
     kept = grouped.groupBy("root").agg(least).select("least.doc_id", "least.th")
     wanted = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(id_), F.col("th").alias(th)).distinct()

@@ -51,10 +51,37 @@ def test_layouts_are_told_by_their_paths(spark):
     assert got == {
         0: ("prompt_response", [("user", "p"), ("assistant", "r")]), 1: ("instruction_output", [("user", "i"), ("assistant", "o")]), 2: ("instruction_input_output", [("user", "i\n\nin"), ("assistant", "o")]),
         3: ("system_instruction_output", [("system", "s"), ("user", "i"), ("assistant", "o")]), 4: ("messages", [("system", "s"), ("user", "u"), ("assistant", "")]), 5: ("conversations", [("user", "h"), ("assistant", "g")]),
-        6: (None, None), 7: (None, None), 8: ("messages", []),
+        6: (None, None), 7: (None, None), 8: (None, None),
     }
 
 
 def test_every_mapping_has_a_fingerprint_of_its_own():
     found = [chat.fingerprint_of(p) for p, _ in chat.MAPPINGS.values()]
     assert len(set(found)) == len(found)
+
+
+def test_all_layouts_in_one_table(spark):
+    turn = "array<struct<role:string,content:string,text:string>>"
+    names = ["role", "text", "content", "prompt", "response", "completion", "question", "answer", "instruction", "input", "output", "system"]
+    schema = "k int, " + ", ".join(f"{n} string" for n in names) + f", messages {turn}, conversations array<struct<`from`:string,value:string>>"
+    rows = {
+        "turn_row": {"role": "user", "text": "t"}, "turn_row_content": {"role": "user", "content": "t"}, "prompt_response": {"prompt": "p", "response": "r"}, "prompt_completion": {"prompt": "p", "completion": "c"},
+        "question_answer": {"question": "q", "answer": "a"}, "instruction_output": {"instruction": "i", "output": "o"}, "instruction_input_output": {"instruction": "i", "input": "n", "output": "o"},
+        "system_instruction_output": {"instruction": "i", "output": "o", "system": "s"}, "messages": {"messages": [("user", "u", None), ("assistant", "a", None)]},
+        "messages_text": {"messages": [("user", None, "u"), ("assistant", None, "a")]}, "conversations": {"conversations": [("human", "u"), ("gpt", "a")]},
+    }
+    assert set(rows) == set(chat.MAPPINGS)
+    fields = ["k", *names, "messages", "conversations"]
+    partial = {"prompt": "no answer"}
+    data = [tuple({**dict.fromkeys(fields), "k": i, **r}[f] for f in fields) for i, r in enumerate([*rows.values(), partial, {"text": None}])]
+    got = {r.k: r for r in chat.canonical(spark.createDataFrame(data, schema), fields[1:], "k").collect()}
+    assert [got[i].layout for i in range(11)] == list(rows)
+    assert all(len(got[i].turns) == (3 if name.startswith("system") else 1 if name.startswith("turn") else 2) for i, name in enumerate(rows))
+    # a null answer is an empty one; a row without any field is of no known layout, and stays
+    assert (got[11].layout, [tuple(t) for t in got[11].turns]) == ("prompt_response", [("user", "no answer"), ("assistant", "")])
+    assert (got[12].layout, got[12].turns) == (None, None)
+
+
+def test_conversations_in_many_layouts(spark):
+    rows = spark.createDataFrame([(c, t, None if (c + t) % 5 == 0 else ["user", "assistant"][t % 2], None if (c + t) % 7 == 0 else f"x{c} {t}") for c in range(-3, 12) for t in range(3)], "conv_id bigint, turn int, role string, text string")
+    assert rows_of(chat.layout_digests(chat.in_many_layouts(rows))) == rows_of(chat.conversation_digests(rows))

@@ -35,25 +35,35 @@ def test_forward_sums_all_segmentations():
     pieces = {x: i for i, x in enumerate(["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "abab"])}
     p = np.random.default_rng(0).uniform(0.01, 0.2, (len(pieces) + 1, 2))
     words = ["a", "ab", "abab", "zab", "ababba"]
-    logs = langid.Lattices(words, pieces, 4).logs(p)
-    for word, row in zip(words, logs):
+    words += ["abba" * 400]  # far below what a float holds
+    logs = langid.Lattices(words, langid.Pieces(list(pieces))).logs(np.log(p))
+    assert np.isfinite(logs).all() and (logs[-1] < -700).all()
+    for word, row in zip(words[:-1], logs):
         for k in range(2):
             assert row[k] == pytest.approx(math.log(slow_mass("▁" + word, pieces, p[:, k])))
 
 
 def test_expected_counts_are_the_slope_of_the_log_mass():
-    pieces = {x: i for i, x in enumerate(["▁", "▁a", "a", "b", "ab"])}
+    pieces = langid.Pieces(["▁", "▁a", "a", "b", "ab"])
     p = np.full((6, 1), 0.15)
     words, weights = ["abab", "b"], np.array([[2.0], [3.0]])
-    lattice = langid.Lattices(words, pieces, 2)
-    used = lattice.expected(p, weights)
+    lattice = langid.Lattices(words, pieces)
+    used = lattice.expected(np.log(p), weights)
     for i in range(6):
         more = p.copy()
         more[i] *= math.exp(1e-6)
-        slope = ((lattice.logs(more) - lattice.logs(p)) * weights).sum() / 1e-6
+        slope = ((lattice.logs(np.log(more)) - lattice.logs(np.log(p))) * weights).sum() / 1e-6
         assert used[i, 0] == pytest.approx(slope, abs=1e-4)
 
 
+def test_words_are_scored_alike_in_any_company():
+    pieces = langid.Pieces(["▁", "▁a", "a", "b", "ab", "ba"])
+    model = langid.uniform(["x"], pieces).learned(np.arange(7.0)[:, None])
+    words = ["ab" * n for n in range(1, 40)] + ["zz", "b"] * 50
+    assert np.allclose(model.logs(words), np.concatenate([model.logs([w]) for w in words]))
+    assert sorted(np.concatenate(list(langid.parts(words))).tolist()) == list(range(len(words)))
+
+
 @needs_data
 def test_held_out_languages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
