@@ -17,6 +17,8 @@ from ..errors import ScratchError
 
 #: The setting that keeps this session's folder.
 _OWN = "spark.loomgraph.scratch"
+#: The setting that removes a query's shuffle files at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,11 +80,18 @@ def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again.
 
-    This cuts the lineage, and a lost executor costs none of it. zstd keeps texts
-    to about half of what the default takes.
+    This cuts the lineage, and a lost executor costs none of it. Nothing reads the
+    write's shuffle files again, so they go at its end, not when the driver's next
+    full collection finds them. zstd keeps texts to about half of what the default
+    takes.
     """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}/{tag}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = df.sparkSession.conf.get(_CLEANUP, "false")
+    df.sparkSession.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        df.sparkSession.conf.set(_CLEANUP, before)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     if stack := getattr(_scopes, "stack", None):
         stack[-1][id(table)] = (table, path)
