@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.join import shuffled
+
 EXTRACTED, INFERRED = "Extracted", "Inferred"
 ROUTE_SCORE = 0.6
 
@@ -34,7 +36,7 @@ def upsert_nodes(nodes: DataFrame, new: DataFrame) -> DataFrame:
 
 def valid_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges of which both ends are nodes; parallel ones stay."""
-    ids = nodes.select("id").distinct()
+    ids = shuffled(nodes.select("id").distinct())
     return edges.join(ids, edges["from_id"] == ids["id"], "left_semi").join(ids, edges["to_id"] == ids["id"], "left_semi")
 
 

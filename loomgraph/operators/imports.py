@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.join import contains_join
+from ..functions.join import contains_join, shuffled
 from ..functions.text import group, groups, lines, normalize_path, parent_dir
 
 # Patterns of import statements, and the endings tried for a path, in order.
@@ -89,12 +89,12 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
         F.struct(F.col("relative").alias("base"), F.lit(2 * len(ENDINGS) + 1).cast("bigint").alias("rank")),
     )
     listed = files.select(F.col("relative").alias("to_file"), F.explode(F.filter(names, lambda x: x.isNotNull())).alias("n")).select("to_file", "n.*")
-    paths = wanted.join(listed, "base").groupBy("from_file", "import").agg(F.min_by("to_file", "rank").alias("to_file"))
+    paths = wanted.join(shuffled(listed), "base").groupBy("from_file", "import").agg(F.min_by("to_file", "rank").alias("to_file"))
 
     rust = imports.where(internal).distinct().withColumn("path", F.regexp_replace(F.regexp_replace("import", r"^(?:crate::)*(?:super::)*", ""), "::", "/"))
     hits = contains_join(files, "relative", rust, "path")
     first = hits.groupBy(F.col("needle").alias("path")).agg(F.min("hay").alias("to_file"))
-    return paths.unionByName(rust.join(first, "path").select("from_file", "import", "to_file"))
+    return paths.unionByName(rust.join(shuffled(first), "path").select("from_file", "import", "to_file"))
 
 
 def import_edges(files: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.join import contains_join
+from ..functions.join import contains_join, shuffled
 from ..schema import NODE_TAGS
 from ..sources.scratch import save
 from .analytics import degrees, god_nodes
@@ -173,7 +173,7 @@ def blast_models(models: DataFrame, files: DataFrame) -> DataFrame:
     """name of models that some touched file's path holds, in any case."""
     hits = contains_join(files.select(F.lower("file").alias("file")), "file", models.select(F.lower("name").alias("name")), "name")
     names = models.select("name", F.lower("name").alias("needle"))
-    return names.join(hits.select("needle").distinct(), "needle", "left_semi").select("name").distinct()
+    return names.join(shuffled(hits.select("needle").distinct()), "needle", "left_semi").select("name").distinct()
 
 
 def callers(edges: DataFrame, targets: DataFrame, max_depth: int) -> DataFrame:
