@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.join import shuffled
 from ..sources.scratch import scope
 from .candidates import Filter, components, signed
 from .common import all_columns, bit_majority, connected_components, free_names, quoted, save, slices, type_of
@@ -132,8 +133,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     members = save(classes(prints).join(least, "fp"), "members")
     component = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = members.join(component, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
+    named = members.join(shuffled(component), "root").select("fp", "component_id")
+    return prints.join(shuffled(named), "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
