@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -12,14 +13,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, slices, type_of
+from ..functions.join import shuffled
+from .common import save, slices, type_of
 
 WINDOW = 8
 #: Buckets that words and pairs of words are hashed to (the raw counts are of all documents).
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
-#: Trusted documents, of those with the least hashes, that the target is counted on.
-SAMPLE = 20_000
+#: Steps in a ratio of one, by which the driver looks for a quantile.
+STEPS = 4096
 #: A document is kept at the ratio, per n-gram, of this low quantile of the trusted ones, less the slack.
 QUANTILE, SLACK = 0.005, 0.02
 CACHE_WORDS = 300_000
@@ -104,7 +106,26 @@ def _ratios(batches: Iterator[pa.RecordBatch], ratio: np.ndarray) -> Iterator[pa
     known = WordHashes()
     for batch in slices(batches):
         found = [_per_gram(known.of(_words(text)), ratio) for text in batch.column("text").to_pylist()]
-        yield pa.record_batch([pa.array(found, pa.float64())], names=["llr"])
+        yield pa.record_batch([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "llr"])
+
+
+def quantile(values: DataFrame, share: float) -> float:
+    """The exact quantile of llr, interpolated: the driver gets the counts of steps, then the values of those around it."""
+    step = F.floor(F.col("llr") * STEPS)
+    counts = sorted(tuple(r) for r in values.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect())
+    at = share * (sum(n for _, n in counts) - 1)
+    before, low, high = 0, None, None
+    for name, n in counts:
+        if low is None and before + n > math.floor(at):
+            low, skipped = name, before
+        if before + n > math.ceil(at):
+            high = name
+            break
+        before += n
+    near = sorted(tuple(r) for r in values.where(step.between(low, high)).groupBy("llr").agg(F.count("*").alias("n")).collect())
+    ends = np.cumsum([n for _, n in near]) + skipped
+    x, y = (near[int(np.searchsorted(ends, k, side="right"))][0] for k in (math.floor(at), math.ceil(at)))
+    return x + (y - x) * (at - math.floor(at))
 
 
 class Model:
@@ -117,12 +138,12 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The raw multinomial is counted on all of docs, the target on labelled good ones among them.
 
-    labels (doc_id, quality) names the trusted documents with quality 1; at most
-    SAMPLE of them are taken. Without any, no ratio rejects a document.
+    labels (doc_id, quality) names the trusted documents with quality 1, which are
+    all taken. Without any, no ratio rejects a document.
     """
     good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    good = hash_sample(good, SAMPLE, "doc_id").withColumn("good", F.lit(True))
-    marked = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    good = shuffled(good.withColumn("good", F.lit(True)))
+    marked = docs.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     counts = marked.mapInArrow(_counts, "bucket int, raw bigint, trusted bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
     raw, trusted = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for bucket, r, t in counts.collect():
@@ -131,9 +152,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(np.zeros(BUCKETS), 0.0)
     smooth = lambda n: (n + SMOOTHING) / (n + SMOOTHING).sum()
     ratio = np.log(smooth(trusted)) - np.log(smooth(raw))
-    sample = docs.select("doc_id", "text").join(F.broadcast(good), "doc_id").select("text")
-    llr = sample.mapInArrow(partial(_ratios, ratio=ratio), "llr double")
-    return Model(ratio, float(llr.agg(F.percentile("llr", QUANTILE)).first()[0]) - SLACK)
+    # all documents are scored, so that ids and ratios meet the trusted ids and not the texts
+    llr = docs.select("doc_id", "text").mapInArrow(partial(_ratios, ratio=ratio), f"doc_id {type_of(docs, 'doc_id')}, llr double")
+    return Model(ratio, quantile(save(llr.join(good, "doc_id").select("llr"), "ratios"), QUANTILE) - SLACK)
 
 
 RESULT = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint", "base_failed": "boolean", "kept": "boolean", "llr": "double"}

@@ -169,3 +169,31 @@ def test_rules_part_good_from_bad(spark):
     good, bad = [r.kept for r in got if r.quality], [r.kept for r in got if not r.quality]
     assert sum(good) / len(good) > 0.97
     assert sum(bad) / len(bad) < 0.2
+
+
+def test_rules_learn_from_all_trusted_documents(spark):
+    """Words and the threshold of every labelled document count, of 30,000 of them too."""
+    n = 30_000
+    text = F.concat_ws(" ", F.lit("some plain words"), F.concat(F.lit("w"), F.col("id") % 97), F.concat(F.lit("v"), F.col("id") % 89))
+    docs = spark.range(n, numPartitions=4).select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    model = rules.fit(docs.unionByName(spark.createDataFrame([(n, "junk junk junk")], "doc_id bigint, text string")), labels)
+    # the target is all of the corpus but one document, whose words alone differ
+    raw, trusted = np.zeros(rules.BUCKETS), np.zeros(rules.BUCKETS)
+    known = rules.WordHashes()
+    rows = [r.text for r in docs.collect()]
+    for t in rows:
+        trusted += np.bincount(rules.grams(known.of(t.encode().split())), minlength=rules.BUCKETS)
+    raw = trusted + np.bincount(rules.grams(known.of(b"junk junk junk".split())), minlength=rules.BUCKETS)
+    smooth = lambda x: (x + rules.SMOOTHING) / (x + rules.SMOOTHING).sum()
+    assert np.allclose(model.ratio, np.log(smooth(trusted)) - np.log(smooth(raw)))
+    every = [rules._per_gram(known.of(t.encode().split()), model.ratio) for t in rows]
+    assert abs(model.least - (np.quantile(every, rules.QUANTILE) - rules.SLACK)) < 1e-12
+
+
+@pytest.mark.parametrize("share", [0.0, 0.005, 0.3, 0.5, 1.0])
+def test_quantiles_are_exact(spark, share):
+    values = [-3.5, -1.0, -1.0, 0.0, 0.00001, 0.00002, 0.1, 2.0, 2.0, 7.25, 9.0]
+    for some in (values, values[:1], values[:2]):
+        df = spark.createDataFrame([(x,) for x in some], "llr double")
+        assert abs(rules.quantile(df, share) - np.quantile(some, share)) < 1e-12
