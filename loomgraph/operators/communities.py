@@ -2,80 +2,87 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import save
-from .analytics import degrees
 from .components import connected_components
 
-#: Components of more nodes are clustered by rounds of joins, not in one task.
-LOCAL_NODES = 50_000
+#: Components of more nodes, or more links, are clustered by rounds of joins, not in one task; that many take some 500 MB.
+LOCAL_NODES, LOCAL_LINKS = 400_000, 4_000_000
 #: In a round of the distributed form a node in so many moves; more, once no round of that size gains anything.
 SHARES = (2, 4, 8, 16)
 
 
-def optimise(n: int, weights: dict[tuple[int, int], float], degree: list[float], m: float) -> list[int]:
+def optimise(start: np.ndarray, to: np.ndarray, weight: np.ndarray, loops: list[float], degree: list[float], m: float) -> list[int]:
     """Communities of nodes 0 to n - 1, moved one by one until none gains.
 
-    weights: of undirected links (a < b), and of loops (a, a). A node goes where the
-    gain is strictly above that of staying, ties to the smallest community.
+    Node i's links to others are those from start[i] up to start[i + 1] of to and
+    weight, loops has the weights of those to itself. A node goes where the gain is
+    strictly above that of staying, ties to the smallest community.
     """
-    links: dict[int, dict[int, float]] = defaultdict(dict)
-    for (a, b), w in weights.items():
-        if a != b:
-            links[a][b] = links[a].get(b, 0) + w
-            links[b][a] = links[b].get(a, 0) + w
+    n, bounds, whole = len(degree), start.tolist(), 2 * m * m
     at, total = list(range(n)), list(degree)
-    loops = [weights.get((i, i), 0.0) for i in range(n)]
     moved = True
     while moved:
         moved = False
         for i in range(n):
-            near: dict[int, float] = defaultdict(float)
-            for j, w in links[i].items():
-                near[at[j]] += w
-            old = at[i]
-            total[old] -= degree[i]
-            gain = lambda c: (near.get(c, 0.0) + (loops[i] if c == old else 0.0)) / m - total[c] * degree[i] / (2 * m * m)  # noqa: E731, B023
-            best, best_gain = old, gain(old)
-            for c in sorted(near):
-                if c != old and (g := gain(c)) > best_gain + 1e-15:
+            low, high, d, old = bounds[i], bounds[i + 1], degree[i], at[i]
+            near: dict[int, float] = {}
+            for j, w in zip(to[low:high].tolist(), weight[low:high].tolist()):
+                c = at[j]
+                near[c] = near.get(c, 0.0) + w
+            total[old] -= d
+            best, best_gain = old, (near.pop(old, 0.0) + loops[i]) / m - total[old] * d / whole
+            for c in sorted(near) if len(near) > 1 else near:
+                if (g := near[c] / m - total[c] * d / whole) > best_gain + 1e-15:
                     best, best_gain = c, g
-            at[i] = best
-            total[best] += degree[i]
-            moved |= best != old
+            total[best] += d
+            if best != old:
+                at[i], moved = best, True
     return at
 
 
-def louvain(n: int, edges: list[tuple[int, int]], m: float | None = None) -> list[int]:
+def _clustered(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, m: float) -> np.ndarray:
+    """Communities of nodes 0 to n - 1, numbered by their first node, after one optimisation."""
+    loop, apart = a == b, a != b
+    loops = np.bincount(a[loop], w[loop], n)
+    degree = np.bincount(a, w, n) + np.bincount(b, w, n)
+    a, b, w = a[apart].astype(np.int32), b[apart].astype(np.int32), w[apart]
+    order = np.argsort(np.r_[a, b], kind="stable").astype(np.int32)
+    start = np.r_[0, np.cumsum(np.bincount(a, minlength=n) + np.bincount(b, minlength=n))]
+    to, weight = np.r_[b, a][order], np.r_[w, w][order]
+    del a, b, w, order
+    return np.array(_numbered(optimise(start, to, weight, loops.tolist(), degree.tolist(), m)), np.int64)
+
+
+def louvain_weighted(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, m: float) -> list[int]:
     """Communities of nodes 0 to n - 1 of one graph, numbered by their first node.
 
+    Each link (a, b) comes once, in either direction, with the number w of its edges.
     Nodes are optimised, then, once, the communities themselves. m: edges of the
     whole graph, of which this may be one component.
     """
-    m = float(m or len(edges) or 1)
-    degree = [0.0] * n
-    weights: dict[tuple[int, int], float] = defaultdict(float)
-    for a, b in edges:
-        degree[a] += 1
-        degree[b] += 1
-        weights[min(a, b), max(a, b)] += 1
-    first = _numbered(optimise(n, weights, degree, m))
-    k = max(first, default=-1) + 1
+    first = _clustered(n, a, b, w, m)
+    k = int(first.max(initial=-1)) + 1
     if k <= 1:
-        return first
-    meta: dict[tuple[int, int], float] = defaultdict(float)
-    for (a, b), w in weights.items():
-        x, y = sorted((first[a], first[b]))
-        meta[x, y] += w
-    sums = [0.0] * k
-    for i, c in enumerate(first):
-        sums[c] += degree[i]
-    second = optimise(k, meta, sums, m)
-    return _numbered([second[c] for c in first])
+        return first.tolist()
+    x, y = np.minimum(first[a], first[b]), np.maximum(first[a], first[b])
+    pairs, which = np.unique(x * k + y, return_inverse=True)
+    second = _clustered(k, pairs // k, pairs % k, np.bincount(which, w), m)
+    return _numbered(second[first].tolist())
+
+
+def louvain(n: int, edges: list[tuple[int, int]], m: float | None = None) -> list[int]:
+    """The same of edges, repeats allowed."""
+    ends = np.array(edges, np.int64).reshape(-1, 2)
+    pairs, w = np.unique(ends.min(axis=1) * max(n, 1) + ends.max(axis=1), return_counts=True)
+    return louvain_weighted(n, pairs // max(n, 1), pairs % max(n, 1), w.astype(float), float(m or len(edges) or 1))
 
 
 def _numbered(at: list[int]) -> list[int]:
@@ -129,13 +136,14 @@ def _rounds(nodes: DataFrame, links: DataFrame, m: float) -> DataFrame:
     return best.select("id", "c")
 
 
-def _distributed(nodes: DataFrame, edges: DataFrame, m: float) -> DataFrame:
+def _distributed(nodes: DataFrame, links: DataFrame, m: float) -> DataFrame:
     """(id, community id): nodes are moved to a fixpoint, then, once, the communities themselves, as in louvain()."""
-    loops = edges.where("from_id = to_id").groupBy(F.col("from_id").alias("id")).agg(F.count("*").alias("loop"))
-    own = save(degrees(nodes.select("id"), edges).join(loops, "id", "left").select("id", "degree", F.coalesce("loop", F.lit(0)).alias("loop")), "own")
-    ends = F.array(F.struct(F.col("from_id").alias("a"), F.col("to_id").alias("b")), F.struct(F.col("to_id").alias("a"), F.col("from_id").alias("b")))
-    links = edges.where("from_id <> to_id").select(F.explode(ends).alias("x")).groupBy("x.a", "x.b").agg(F.count("*").cast("double").alias("w"))
-    links = save(links, "links")
+    both = F.array(F.struct(F.col("a"), F.col("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    weight = F.col("w").cast("double")
+    ends = links.select(F.explode(both).alias("x"), weight.alias("w")).select("x.*", "w")
+    loop = F.sum(F.when(F.col("a") == F.col("b"), F.col("w") / 2).otherwise(0.0))
+    own = save(nodes.select("id").join(ends.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("degree"), loop.alias("loop")), "id"), "own")
+    links = save(ends.where("a <> b"), "links")
     first = save(_rounds(own, links, m), "first")
     at = lambda end: first.select(F.col("id").alias(end), F.col("c").alias(f"c{end}"))
     between = save(links.join(at("a"), "a").join(at("b"), "b").groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "between")
@@ -147,44 +155,49 @@ def _distributed(nodes: DataFrame, edges: DataFrame, m: float) -> DataFrame:
     return first.join(second.select(F.col("id").alias("c"), F.col("c").alias("top")), "c").select("id", F.col("top").alias("c"))
 
 
+def _cluster(members: pa.Table, links: pa.Table, m: float) -> pa.Table:
+    """members (id, ord), links (a, b, w) of one task -> (id, c), named by its first member."""
+    ids = members.sort_by([("ord", "ascending"), ("id", "ascending")]).column("id").combine_chunks()
+    place = lambda end: pc.index_in(links.column(end), value_set=ids).to_numpy().astype(np.int64)
+    found = np.array(louvain_weighted(len(ids), place("a"), place("b"), links.column("w").to_numpy().astype(float), m), np.int64)
+    _, first = np.unique(found, return_index=True)
+    return pa.table({"id": ids, "c": ids.take(pa.array(first[found]))})
+
+
 def assign_communities(nodes: DataFrame, edges: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFrame:
     """nodes with community set, numbered from 0 by the first member's ord.
 
-    Components can't gain from each other, so each is clustered by itself: small
-    ones in a task each, with nodes in the order of ord, larger ones by rounds of
-    joins. Both move nodes until none gains, then the communities once in the same
-    way; which of several such partitions it is depends on the order of moves, and
-    so on the form. A node without edges is a community.
+    Equal edges become one link with their number first, so their repeats are only
+    read once. Components can't gain from each other, so all go to one task, in the
+    order of ord, if they have few nodes together. Otherwise each is clustered by
+    itself: small ones in a task each, larger ones by rounds of joins. Both move
+    nodes until none gains, then the communities once in the same way; which of
+    several such partitions it is depends on the order of moves, and so on the form.
+    A node without edges is a community.
     """
-    m = edges.count()
+    ends = edges.select(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b"))
+    links = save(ends.groupBy("a", "b").agg(F.count("*").alias("w")), "weighted")
+    m = links.agg(F.sum("w")).first()[0] or 0
     if m == 0:
         found = nodes.select("id", F.col("id").alias("c"))
     else:
-        roots = connected_components(edges.select(F.col("from_id").alias("u"), F.col("to_id").alias("v")))
-        placed = save(nodes.select("id", "ord").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "placed")
-        sizes = placed.groupBy("root").agg(F.count("*").alias("n"))
-        sized = save(placed.join(sizes, "root"), "sized")
-        small, large = sized.where(F.col("n") <= local_nodes), sized.where(F.col("n") > local_nodes)
-        homes = small.select(F.col("id").alias("from_id"), F.col("root").alias("home"))
-        inner = save(edges.select("from_id", "to_id").join(homes, "from_id"), "inner")
-
-        def cluster(key, left, right):
-            import pandas as pd
-
-            left = left.sort_values(["ord", "id"])
-            ids = left["id"].tolist()
-            at = {x: i for i, x in enumerate(ids)}
-            links = sorted((at[a], at[b]) for a, b in zip(right["from_id"], right["to_id"]))
-            found = louvain(len(ids), links, m)
-            first: dict[int, str] = {}
-            for x, c in zip(ids, found):
-                first.setdefault(c, x)
-            return pd.DataFrame({"id": ids, "c": [first[c] for c in found]})
-
-        found = small.select("root", "id", "ord").groupBy("root").cogroup(inner.groupBy("home")).applyInPandas(cluster, "id string, c string")
-        if not large.isEmpty():
-            inside = edges.join(large.select(F.col("id").alias("from_id")), "from_id", "left_semi")
-            found = found.unionByName(_distributed(large, inside, float(m)))
+        linked = links.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        placed = save(nodes.select("id", "ord").join(linked, "id", "left_semi"), "linked")
+        large, inner, small = None, links.withColumn("root", F.lit("")), placed.withColumn("root", F.lit(""))
+        if placed.count() > local_nodes or links.count() > LOCAL_LINKS:
+            roots = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+            rooted = save(placed.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
+            inside = save(links.join(rooted.select(F.col("id").alias("a"), "root"), "a"), "inside")
+            sizes = rooted.groupBy("root").agg(F.count("*").alias("n")).join(inside.groupBy("root").agg(F.count("*").alias("links")), "root")
+            sizes = save(sizes.select("root", ((F.col("n") <= local_nodes) & (F.col("links") <= LOCAL_LINKS)).alias("few")), "sizes")
+            small, inner = (df.join(sizes.where("few"), "root", "left_semi") for df in (rooted, inside))
+            large = (df.join(sizes.where("not few"), "root", "left_semi").drop("root") for df in (rooted, inside)) if not sizes.where("not few").isEmpty() else None
+        tasks = small.select("root", "id", "ord").groupBy("root").cogroup(inner.select("root", "a", "b", "w").groupBy("root"))
+        found = tasks.applyInArrow(partial(_cluster, m=float(m)), "id string, c string")
+        if large is not None:
+            found = found.unionByName(_distributed(*large, float(m)))
+        lonely = nodes.select("id").join(placed, "id", "left_anti")
+        found = found.unionByName(lonely.select("id", F.col("id").alias("c")))
     named = save(nodes.select("id", "ord").join(found, "id"), "found")
     first = named.groupBy("c").agg(F.min(F.struct("ord", "id")).alias("first"))
     # one row per community, numbered by range partitions and their counts

@@ -1,12 +1,14 @@
 """Assembly, walks, measures and communities on small graphs."""
 
+import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.functions.join import contains_join
 from loomgraph.functions.text import normalize_path, pascal_case
-from loomgraph.operators import analytics, assemble, traverse
+from loomgraph.operators import analytics, assemble, communities, traverse
 from loomgraph.operators.communities import assign_communities, louvain
 from loomgraph.operators.components import connected_components
 from loomgraph.schema import EDGES, NODES
@@ -99,6 +101,30 @@ def test_communities_of_two_cliques(spark):
         assert [(r.from_id, r.to_id) for r in analytics.cross_community_edges(done.withColumn("community", done.community + 1), edges).collect()] == [("a4", "b1")]
 
 
+def test_communities_of_a_large_component_and_of_repeated_edges(spark, monkeypatch):
+    # a path of 60,000 nodes, each link twice, once either way
+    n, name = 60_000, lambda x: F.format_string("n%06d", x)
+    nodes = spark.range(n).select(name(F.col("id")).alias("id"), F.col("id").alias("ord"), F.lit(0).cast("bigint").alias("community"))
+    hops = spark.range(n - 1).select(name(F.col("id")).alias("from_id"), name(F.col("id") + 1).alias("to_id"))
+    edges = hops.union(hops.select("to_id", "from_id"))
+
+    def apart(*_):
+        raise AssertionError("rounds of joins")
+
+    monkeypatch.setattr(communities, "_distributed", apart)
+    got = [r.community for r in assign_communities(nodes, edges).orderBy("ord").collect()]
+    assert got == louvain(n, [(i, i + 1) for i in range(n - 1)] * 2)
+
+
+def test_communities_of_many_links_go_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(communities, "LOCAL_LINKS", 5)
+    monkeypatch.setattr(communities, "_distributed", lambda nodes, links, m: nodes.select("id", F.lit(f"a{links.count() - 6}").alias("c")))
+    names = [f"a{i}" for i in range(4)] + [f"b{i}" for i in range(3)]
+    nodes, edges = make(spark, names, list(itertools.combinations(names[:4], 2)) + list(itertools.combinations(names[4:], 2)))
+    got = [r.community for r in assign_communities(nodes, edges).orderBy("ord").collect()]
+    assert got == [0] * 4 + [1] * 3
+
+
 def test_communities_without_edges(spark):
     nodes, edges = make(spark, "ab", [])
     assert [r.community for r in assign_communities(nodes, edges).orderBy("id").collect()] == [0, 1]
