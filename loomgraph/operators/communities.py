@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -15,6 +16,9 @@ from .components import connected_components
 
 #: Components of more nodes, or more links, are clustered by rounds of joins, not in one task; that many take some 500 MB.
 LOCAL_NODES, LOCAL_LINKS = 400_000, 4_000_000
+#: Graphs of up to so many nodes have these numbered, and the driver and each task hold two numbers for each (12 bytes); their
+#: links are in blocks of about BLOCK ends, of which one in each of TURNS moves at a time; of a block's nodes one in SLICES choose together.
+NUMBERED, BLOCK, SLICES, TURNS = 1 << 24, 500_000, 64, (4, 16)
 #: In a round of the distributed form a node in so many moves; more, once no round of that size gains anything.
 SHARES = (2, 4, 8, 16)
 
@@ -164,6 +168,208 @@ def _cluster(members: pa.Table, links: pa.Table, m: float) -> pa.Table:
     return pa.table({"id": ids, "c": ids.take(pa.array(first[found]))})
 
 
+class _Sent:
+    """Gives tasks what was broadcast."""
+
+    def __init__(self, sent) -> None:
+        self.sent = sent
+
+    def __call__(self) -> object:
+        return self.sent.value
+
+
+def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b, w), both ways, a loop once, all of an a in one partition -> a row of the partition's nodes, ascending, and their links as bytes."""
+    held = [[batch.column(k).to_numpy() for k in range(3)] for batch in batches if batch.num_rows]
+    if not held:
+        return
+    a, b, w = (np.concatenate(x) for x in zip(*held))
+    ids, owner = np.unique(a, return_inverse=True)
+    loop, n = a == b, len(ids)
+    loops = np.bincount(owner[loop], w[loop], n)
+    degree = np.bincount(owner, w, n) + loops
+    owner, b, w = owner[~loop], b[~loop], w[~loop]
+    order = np.argsort(owner, kind="stable")
+    start = np.r_[0, np.cumsum(np.bincount(owner, minlength=n))]
+    columns = ids.astype(np.int32), degree, loops, start, b[order].astype(np.int32), w[order].astype(np.float64)
+    number = int(np.uint64(int(ids[0]) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> np.uint64(40))
+    yield pa.record_batch([pa.array([number], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], names=["block", *_BLOCK])
+
+
+_BLOCK = {"ids": np.int32, "degree": np.float64, "loops": np.float64, "start": np.int64, "to": np.int32, "w": np.float64}
+_BLOCK_KINDS = "block int, " + ", ".join(f"{k} binary" for k in _BLOCK)
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield [np.frombuffer(batch.column(k)[i].as_buffer(), kind) for k, kind in _BLOCK.items()]
+
+
+def _moves(ids: np.ndarray, degree: np.ndarray, loops: np.ndarray, start: np.ndarray, to: np.ndarray, w: np.ndarray, at: np.ndarray, total: np.ndarray, m: float) -> None:
+    """Moves a block's nodes to where each gains most, a part of them at a time; at and total (degree by community) follow."""
+    n, whole = len(at), 2 * m * m
+    cuts = np.unique(np.searchsorted(start, np.arange(0, len(to), max(1, len(to) // SLICES)), "right") - 1)
+    for low, high in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)]):
+        begin, end = start[low], start[high]
+        if begin == end:
+            continue
+        mine, d = ids[low:high], degree[low:high]
+        old = at[mine]
+        key = np.repeat(np.arange(high - low, dtype=np.int64), np.diff(start[low : high + 1])) * n + at[to[begin:end]]
+        order = np.argsort(key)
+        key = key[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sums, (node, c) = np.add.reduceat(w[begin:end][order], first), np.divmod(key[first], n)
+        own = c == old[node]
+        stay = loops[low:high].copy()
+        stay[node[own]] += sums[own]
+        stay = stay / m - (total[old] - d) * d / whole
+        gain = np.where(own, -np.inf, sums / m - total[c] * d[node] / whole)
+        starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        most = np.maximum.reduceat(gain, starts)
+        # of equal gains the first, which is that of the smallest community
+        hit = np.flatnonzero(gain == np.repeat(most, np.diff(np.r_[starts, len(node)])))
+        _, which = np.unique(node[hit], return_index=True)
+        best = hit[which]
+        best = best[gain[best] > stay[node[best]] + 1e-15]
+        if len(best):
+            who, c = node[best], c[best]
+            np.subtract.at(total, old[who], d[who])
+            np.add.at(total, c, d[who])
+            at[mine[who]] = c
+
+
+def _turn(batches: Iterator[pa.RecordBatch], state: _Sent, m: float) -> Iterator[pa.RecordBatch]:
+    """Blocks -> the nodes of each that move, and where to, as bytes."""
+    for block in _blocks_of(batches):
+        at, total = (x.copy() for x in state())
+        ids, before = block[0], state()[0][block[0]]
+        _moves(*block, at, total, m)
+        moved = at[ids] != before
+        yield pa.record_batch([pa.array([x[moved].tobytes()], pa.binary()) for x in (ids, at[ids])], names=["ids", "c"])
+
+
+def _inside(batches: Iterator[pa.RecordBatch], state: _Sent) -> Iterator[pa.RecordBatch]:
+    """Blocks -> the weight of links' ends inside communities."""
+    at = state()[0]
+    for ids, _, _, start, to, w in _blocks_of(batches):
+        same = np.repeat(at[ids], np.diff(start)) == at[to]
+        yield pa.record_batch([pa.array([float(w[same].sum())])], names=["w"])
+
+
+def _in_turns(links: DataFrame, n: int, count: int, m: float) -> np.ndarray:
+    """links (a, b, w) of nodes 0 to n - 1 -> their communities, moved until none gains.
+
+    Nodes are dealt to blocks by hash. A turn's blocks move at once, each of its
+    nodes in order; all blocks have had a turn when it is told whether that gained.
+    Where it hasn't, what was best is taken again with smaller turns, and with the
+    smallest it ends.
+    """
+    blocks = max(1, 2 * count // BLOCK)
+    both = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    ends = links.select(F.explode(both).alias("x"), "w").select("x.a", "x.b", "w")
+    table = save(ends.repartition(blocks, "a").mapInArrow(_blocked, _BLOCK_KINDS), "blocks")
+    names = sorted({row.block for row in table.select("block").collect()})
+    degree, loops = np.zeros(n), 0.0
+    for row in table.select("ids", "degree", "loops").toLocalIterator():
+        degree[np.frombuffer(row.ids, np.int32)] = np.frombuffer(row.degree)
+        loops += np.frombuffer(row.loops).sum()
+
+    def told(df: DataFrame, of: Callable, kinds: str, at: np.ndarray) -> list:
+        total = np.bincount(at, degree, n)
+        sent = df.sparkSession.sparkContext.broadcast((at, total))
+        try:
+            return df.mapInArrow(partial(of, state=_Sent(sent)), kinds).collect()
+        finally:
+            sent.destroy()
+
+    def quality(at: np.ndarray) -> float:
+        inside = sum(row.w for row in told(table, _inside, "w double", at))
+        return (inside / 2 + loops) / m - float((np.bincount(at, degree, n) ** 2).sum()) / (4 * m * m)
+
+    at = np.arange(n, dtype=np.int32)
+    best, most = at.copy(), quality(at)
+    for turns in TURNS:
+        turns, gained = min(turns, len(names)), True
+        while gained:
+            for turn in range(turns):
+                mine = table.where(F.col("block").isin(names[turn::turns])) if turns > 1 else table
+                for row in told(mine, partial(_turn, m=m), "ids binary, c binary", at):
+                    at[np.frombuffer(row.ids, np.int32)] = np.frombuffer(row.c, np.int32)
+            gained = (q := quality(at)) > most + 1e-9
+            if gained:
+                best, most = at.copy(), q
+        at = best.copy()
+    return best
+
+
+def _one_task(batches: Iterator[pa.RecordBatch], m: float) -> Iterator[pa.RecordBatch]:
+    """All links (a, b, w) -> (ids, c) as bytes: their nodes, and which each one's community is named by."""
+    held = [[batch.column(k).to_numpy() for k in range(3)] for batch in batches if batch.num_rows]
+    a, b, w = (np.concatenate(x) for x in zip(*held))
+    ids, place = np.unique(np.r_[a, b], return_inverse=True)
+    found = _clustered(len(ids), place[: len(a)], place[len(a) :], w.astype(float), m)
+    _, first = np.unique(found, return_index=True)
+    yield pa.record_batch([pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (ids, ids[first[found]])], names=["ids", "c"])
+
+
+def _optimised(links: DataFrame, n: int, m: float, local_nodes: int) -> np.ndarray:
+    """Communities of nodes 0 to n - 1 after one optimisation, numbered by their first node."""
+    count = links.count()
+    linked = n if n <= local_nodes or count > LOCAL_LINKS else links.select(F.explode(F.array("a", "b")).alias("x")).distinct().count()
+    if linked <= local_nodes and count <= LOCAL_LINKS:
+        at = np.arange(n, dtype=np.int32)
+        for row in links.select("a", "b", "w").repartition(1).mapInArrow(partial(_one_task, m=m), "ids binary, c binary").collect():
+            at[np.frombuffer(row.ids, np.int32)] = np.frombuffer(row.c, np.int32)
+    else:
+        at = _in_turns(links, n, count, m)
+    _, first, which = np.unique(at, return_index=True, return_inverse=True)
+    rank = np.empty(len(first), np.int32)
+    rank[np.argsort(first)] = np.arange(len(first), dtype=np.int32)
+    return rank[which]
+
+
+def _renamed(batches: Iterator[pa.RecordBatch], state: _Sent) -> Iterator[pa.RecordBatch]:
+    """Links of nodes -> links of their communities, summed by batch."""
+    at = state().astype(np.int64)
+    for batch in batches:
+        a, b = at[batch.column("a").to_numpy()], at[batch.column("b").to_numpy()]
+        pairs, which = np.unique(np.minimum(a, b) << 32 | np.maximum(a, b), return_inverse=True)
+        sums = np.bincount(which, batch.column("w").to_numpy(), len(pairs)).astype(np.int64)
+        yield pa.record_batch([pa.array((pairs >> 32).astype(np.int32)), pa.array((pairs & 0xFFFFFFFF).astype(np.int32)), pa.array(sums)], names=["a", "b", "w"])
+
+
+def _given(batches: Iterator[pa.RecordBatch], state: _Sent) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.record_batch([batch.column("id"), pa.array(state()[batch.column("num").to_numpy()].astype(np.int64))], names=["id", "community"])
+
+
+def _by_number(nodes: DataFrame, edges: DataFrame, local_nodes: int) -> DataFrame:
+    """assign_communities() of many nodes, which are numbered by ord: links are pairs of numbers, and communities an array."""
+    ranged = save(nodes.groupBy("id").agg(F.min("ord").alias("ord")).repartitionByRange("ord", "id").sortWithinPartitions("ord", "id").withColumn("part", F.spark_partition_id()), "ranged")
+    sizes = {row.part: row["count"] for row in ranged.groupBy("part").count().collect()}
+    n, starts = sum(sizes.values()), {part: sum(v for k, v in sizes.items() if k < part) for part in sizes}
+    start = ranged.sparkSession.createDataFrame([*starts.items()], "part int, start bigint")
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("ord", "id")) - 1
+    numbered = save(ranged.withColumn("nth", nth).join(F.broadcast(start), "part").select("id", (F.col("start") + F.col("nth")).cast("int").alias("num")), "numbered")
+    # valid edges are dealt by to_id already, and nodes are few beside them, so no edge is sorted
+    at = lambda end, name: numbered.select(F.col("id").alias(end), F.col("num").alias(name)).hint("shuffle_hash")
+    ends = edges.select("from_id", "to_id").join(at("to_id", "v"), "to_id").select("from_id", "v").join(at("from_id", "u"), "from_id").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+    links = save(ends.groupBy("a", "b").agg(F.count("*").alias("w")), "weighted")
+    m = float(links.agg(F.sum("w")).first()[0] or 0)
+    sc, found = links.sparkSession.sparkContext, np.arange(n, dtype=np.int32)
+    if m:
+        found = _optimised(links, n, m, local_nodes)
+        sent = sc.broadcast(found)
+        meta = save(links.mapInArrow(partial(_renamed, state=_Sent(sent)), "a int, b int, w bigint").groupBy("a", "b").agg(F.sum("w").alias("w")), "meta")
+        sent.destroy()
+        # communities are numbered by their first node, so these are too
+        found = _optimised(meta, int(found.max()) + 1, m, local_nodes)[found]
+    given = numbered.mapInArrow(partial(_given, state=_Sent(sc.broadcast(found))), "id string, community bigint")
+    return nodes.drop("community").join(given, "id").select(*nodes.columns)
+
+
 def assign_communities(nodes: DataFrame, edges: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFrame:
     """nodes with community set, numbered from 0 by the first member's ord.
 
@@ -173,8 +379,10 @@ def assign_communities(nodes: DataFrame, edges: DataFrame, local_nodes: int = LO
     itself: small ones in a task each, larger ones by rounds of joins. Both move
     nodes until none gains, then the communities once in the same way; which of
     several such partitions it is depends on the order of moves, and so on the form.
-    A node without edges is a community.
+    A node without edges is a community. Of more than local_nodes and up to NUMBERED nodes, see _by_number().
     """
+    if local_nodes < nodes.count() <= NUMBERED:
+        return _by_number(nodes, edges, local_nodes)
     ends = edges.select(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b"))
     links = save(ends.groupBy("a", "b").agg(F.count("*").alias("w")), "weighted")
     m = links.agg(F.sum("w")).first()[0] or 0

@@ -125,6 +125,36 @@ def test_communities_of_many_links_go_by_rounds(spark, monkeypatch):
     assert got == [0] * 4 + [1] * 3
 
 
+def test_communities_of_many_nodes_go_by_blocks(spark, monkeypatch):
+    # too many nodes for one task: no rounds of joins, and about as good as moving one by one
+    draw, n = random.Random(3), 600
+    links = [(draw.randrange(n), draw.randrange(n)) for _ in range(600)] + [(g * 60 + draw.randrange(60), g * 60 + draw.randrange(60)) for g in range(10) for _ in range(300)]
+    nodes, edges = make(spark, [f"n{i:03d}" for i in range(n + 1)], [(f"n{a:03d}", f"n{b:03d}") for a, b in links])
+
+    def apart(*_):
+        raise AssertionError("rounds of joins")
+
+    monkeypatch.setattr(communities, "_distributed", apart)
+    at = spark.createDataFrame([(f"n{i:03d}", c) for i, c in enumerate(louvain(n + 1, links))], "id string, community bigint")
+    q = lambda found: analytics.modularity(found, edges).first().q
+    best = q(at)
+    for block in (500_000, 1500):
+        monkeypatch.setattr(communities, "BLOCK", block)
+        done = assign_communities(nodes, edges, 0).cache()
+        got = [r.community for r in done.orderBy("ord").collect()]
+        first = list(dict.fromkeys(got))
+        assert len(got) == n + 1 and first == list(range(len(first))) and got.count(got[n]) == 1
+        assert q(done) > 0.9 * best
+    # few links: the same as one by one
+    assert [r.community for r in communities._by_number(nodes, edges, 1000).orderBy("ord").collect()] == louvain(n + 1, links)
+
+
+def test_communities_of_very_many_nodes_go_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(communities, "NUMBERED", 0)
+    nodes, edges = make(spark, "abcdef", [*itertools.combinations("abc", 2), *itertools.combinations("def", 2), ("c", "d")])
+    assert [r.community for r in assign_communities(nodes, edges, 0).orderBy("ord").collect()] == [0, 0, 0, 1, 1, 1]
+
+
 def test_communities_without_edges(spark):
     nodes, edges = make(spark, "ab", [])
     assert [r.community for r in assign_communities(nodes, edges).orderBy("id").collect()] == [0, 1]
